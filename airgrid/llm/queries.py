@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airgrid.llm import _store
+from airgrid.llm import _store, linededup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -45,5 +45,29 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.records(manifest, out).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op2_dac, op7_byte_bpe, op9_ring, op10_warc)}
-ORACLE_SQL: dict[str, str] = {}
+def op3_rank_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from airgrid.llm import langid
+
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = langid.fold(F.col("doc_id")) % 3 == 1
+    profiles = langid.learn(docs.where(~held))
+    out = langid.predict(docs.select("doc_id", "text"), profiles, keep=["doc_id"])
+    return out.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op6_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from airgrid.llm import decontam
+
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontam.judged(decontam.match(docs, _read(spark, sf_dir, "benchmark"), keep=["doc_id"]))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def op8_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from airgrid.llm import linededup
+
+    return linededup.dedup(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op2_dac, op3_rank_order, op6_suffix_arrays, op7_byte_bpe, op8_line_windows, op9_ring, op10_warc)}
+ORACLE_SQL: dict[str, str] = {"op8_line_windows": linededup.ORACLE}
