@@ -63,21 +63,21 @@ def dedup(docs: DataFrame, size: int = WINDOW) -> DataFrame:
 
 ORACLE = """
 WITH lines AS (
-    SELECT d.doc_id, d.text, u.at, string_split(d.text, chr(10))[u.at + 1] AS line, len(string_split(d.text, chr(10))) AS n
-    FROM documents d, LATERAL (SELECT unnest(range(0, len(string_split(d.text, chr(10))))) AS at) u
+    SELECT d.doc_id, d.text, u.ln, string_split(d.text, chr(10))[u.ln + 1] AS line, len(string_split(d.text, chr(10))) AS n
+    FROM documents d, LATERAL (SELECT unnest(range(0, len(string_split(d.text, chr(10))))) AS ln) u
     WHERE d.text IS NOT NULL
 ), windows AS (
-    SELECT doc_id, text, at, line || chr(10) || lead(line, 1) OVER p || chr(10) || lead(line, 2) OVER p AS w
-    FROM lines WINDOW p AS (PARTITION BY doc_id, text ORDER BY at)
+    SELECT doc_id, text, ln, line || chr(10) || lead(line, 1) OVER p || chr(10) || lead(line, 2) OVER p AS w
+    FROM lines WINDOW p AS (PARTITION BY doc_id, text ORDER BY ln)
 ), ranked AS (
-    SELECT *, rank() OVER (PARTITION BY w ORDER BY doc_id NULLS FIRST, md5(text), at) AS r
+    SELECT *, rank() OVER (PARTITION BY w ORDER BY doc_id NULLS FIRST, md5(text), ln) AS r
     FROM windows WHERE w IS NOT NULL AND w <> chr(10) || chr(10)
 ), gone AS (
-    SELECT DISTINCT doc_id, text, at + k AS at FROM ranked, (VALUES (0), (1), (2)) v(k) WHERE r > 1
+    SELECT DISTINCT doc_id, text, ln + k AS ln FROM ranked, (VALUES (0), (1), (2)) v(k) WHERE r > 1
 ), kept AS (
-    SELECT l.doc_id, l.text, any_value(l.n) AS n, count(g.at) AS gone,
-           coalesce(string_agg(l.line, chr(10) ORDER BY l.at) FILTER (WHERE g.at IS NULL), '') AS clean
-    FROM lines l LEFT JOIN gone g ON l.doc_id IS NOT DISTINCT FROM g.doc_id AND l.text = g.text AND l.at = g.at
+    SELECT l.doc_id, l.text, any_value(l.n) AS n, count(g.ln) AS gone,
+           coalesce(string_agg(l.line, chr(10) ORDER BY l.ln) FILTER (WHERE g.ln IS NULL), '') AS clean
+    FROM lines l LEFT JOIN gone g ON l.doc_id IS NOT DISTINCT FROM g.doc_id AND l.text = g.text AND l.ln = g.ln
     GROUP BY l.doc_id, l.text
 )
 SELECT d.doc_id, k.clean AS text, coalesce(k.n, 0)::BIGINT AS n_lines, coalesce(k.gone, 0)::BIGINT AS n_removed

@@ -2,16 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airgrid.llm import _store, linededup
 
 
+def fold(doc_id: Column) -> Column:
+    """crc32 of an id as text, by which labelled rows are dealt."""
+    return F.crc32(doc_id.cast("string").cast("binary"))
+
+
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from airgrid.llm import toxicity
+
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _read(spark, sf_dir, "labels").select("doc_id", "toxic").where(fold(F.col("doc_id")) % 5 != 0)
+    model = toxicity.learn(docs.join(labels, "doc_id"), toxicity.corpus_trigrams(docs))
+    held = F.coalesce(fold(F.col("doc_id")) % 5 == 0, F.lit(False))
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op2_dac(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -49,7 +65,7 @@ def op3_rank_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     from airgrid.llm import langid
 
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    held = langid.fold(F.col("doc_id")) % 3 == 1
+    held = fold(F.col("doc_id")) % 3 == 1
     profiles = langid.learn(docs.where(~held))
     out = langid.predict(docs.select("doc_id", "text"), profiles, keep=["doc_id"])
     return out.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score")
@@ -69,5 +85,5 @@ def op8_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op2_dac, op3_rank_order, op6_suffix_arrays, op7_byte_bpe, op8_line_windows, op9_ring, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_noisy_channel, op2_dac, op3_rank_order, op6_suffix_arrays, op7_byte_bpe, op8_line_windows, op9_ring, op10_warc)}
 ORACLE_SQL: dict[str, str] = {"op8_line_windows": linededup.ORACLE}
