@@ -337,12 +337,10 @@ def write_tokens(docs: DataFrame, out: str, tokenizer_path: str, end_id: int = 2
         for b in batches:
             for doc, ids in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 docs_.append(doc)
-                parts.append(np.frombuffer(ids.as_buffer(), dtype=wide))
+                parts.append(np.frombuffer(ids.as_buffer(), dtype=wide).copy())  # the batch's memory may go
                 size += len(parts[-1])
                 if size >= segment_tokens:
                     yield flush()
-            if parts:  # the batch's memory may go
-                parts = [np.concatenate(parts)[a:b2] for a, b2 in zip(np.concatenate([[0], np.cumsum([len(p) for p in parts])[:-1]]), np.cumsum([len(p) for p in parts]), strict=True)]
         if docs_:
             yield flush()
 

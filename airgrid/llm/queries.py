@@ -71,6 +71,18 @@ def op3_rank_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op4_vertical_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from airgrid.llm import jaccard
+
+    return jaccard.classes(_read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
+
+
+def op5_multiprobe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from airgrid.llm import ann
+
+    return ann.search(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), every=20, k=20)
+
+
 def op6_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     from airgrid.llm import decontam
 
@@ -85,5 +97,5 @@ def op8_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_noisy_channel, op2_dac, op3_rank_order, op6_suffix_arrays, op7_byte_bpe, op8_line_windows, op9_ring, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_noisy_channel, op2_dac, op3_rank_order, op4_vertical_join, op5_multiprobe, op6_suffix_arrays, op7_byte_bpe, op8_line_windows, op9_ring, op10_warc)}
 ORACLE_SQL: dict[str, str] = {"op8_line_windows": linededup.ORACLE}
