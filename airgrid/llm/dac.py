@@ -298,11 +298,17 @@ MANIFEST = "file string, part int, seq int, first_doc long, last_doc long, n_doc
 def write_tokens(docs: DataFrame, out: str, tokenizer_path: str, end_id: int = 2, partitions: int | None = None, segment_tokens: int = SEGMENT_TOKENS, id_bytes: int = 2) -> DataFrame:
     """Encodes every text and writes the ids, end id last, in ascending doc_id order; returns the committed manifest.
 
-    Encoding goes before the range exchange, so what moves is ids of two bytes, not texts. Parts are ranges of doc_id; a part
-    holds any number of files, each of about segment_tokens ids, so no task holds more than one file's ids.
+    Encoding goes before the one exchange, so what moves is ids of two bytes, not texts. Parts are ranges of doc_id between
+    approximate quantiles, found from that column alone, so no text is encoded twice to sample the ranges; a part holds any
+    number of files, each of about segment_tokens ids, so no task holds more than one file's ids.
     """
     spark = docs.sparkSession
 
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    cuts = docs.agg(F.percentile_approx("doc_id", F.array(*[F.lit(k / n) for k in range(1, n)]), 10_000).alias("cuts")).first()["cuts"] if n > 1 else None
+    bounds = np.unique(np.array(cuts or [], dtype=np.int64))
+
     def encode(batches):
         enc = encoder(tokenizer_path)
         for b in _words.small_batches(batches, "text"):
@@ -313,40 +319,42 @@ def write_tokens(docs: DataFrame, out: str, tokenizer_path: str, end_id: int = 2
             ids = np.insert(ids, ends, end_id).astype(f"<u{id_bytes}")
             at = np.concatenate([[0], ends + np.arange(1, len(ends) + 1)]) * ids.itemsize
             packed = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(ids)])
-            yield pa.record_batch([b.column(0), packed.cast(pa.binary())], names=["doc_id", "ids"])
+            part = np.searchsorted(bounds, b.column(0).fill_null(-(1 << 63)).to_numpy(), "left").astype(np.int32)
+            yield pa.record_batch([pa.array(part), b.column(0), packed.cast(pa.binary())], names=["part", "doc_id", "ids"])
 
     def write(batches):
-        from pyspark import TaskContext
-
-        part, seq, docs_, parts, size = TaskContext.get().partitionId(), 0, [], [], 0
-        wide = f"<u{id_bytes}"
+        now, seq, docs_, parts, size = None, 0, [], [], 0
         fs, base = _store.filesystem(out)
         fs.create_dir(base, recursive=True)
+        schema = pa.schema([("file", pa.string()), ("part", pa.int32()), ("seq", pa.int32()), ("first_doc", pa.int64()), ("last_doc", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
 
         def flush():
             nonlocal seq, docs_, parts, size
-            name = f"part-{part:06d}-{seq:06d}-{uuid.uuid4().hex}.dac"
+            name = f"part-{now:06d}-{seq:06d}-{uuid.uuid4().hex}.dac"
             starts = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
             known = np.array([-(1 << 63) if d is None else d for d in docs_], dtype=np.int64)
             with fs.open_output_stream(f"{base}/{name}") as f:
                 f.write(pack(known, starts, np.concatenate(parts)))
-            row = {"file": [name], "part": [part], "seq": [seq], "first_doc": [docs_[0]], "last_doc": [docs_[-1]], "n_docs": [len(docs_)], "n_tokens": [size]}
+            row = {"file": [name], "part": [now], "seq": [seq], "first_doc": [docs_[0]], "last_doc": [docs_[-1]], "n_docs": [len(docs_)], "n_tokens": [size]}
             seq, docs_, parts, size = seq + 1, [], [], 0
-            return pa.RecordBatch.from_pydict(row, schema=pa.schema([("file", pa.string()), ("part", pa.int32()), ("seq", pa.int32()), ("first_doc", pa.int64()), ("last_doc", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
+            return pa.RecordBatch.from_pydict(row, schema=schema)
 
         for b in batches:
-            for doc, ids in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for part, doc, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                if docs_ and part != now:
+                    yield flush()
+                if part != now:
+                    now, seq = part, 0
                 docs_.append(doc)
-                parts.append(np.frombuffer(ids.as_buffer(), dtype=wide).copy())  # the batch's memory may go
+                parts.append(np.frombuffer(ids.as_buffer(), dtype=f"<u{id_bytes}").copy())  # the batch's memory may go
                 size += len(parts[-1])
                 if size >= segment_tokens:
                     yield flush()
         if docs_:
             yield flush()
 
-    coded = _store.written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(encode, "doc_id long, ids binary"), "dac-ids")
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = coded.repartitionByRange(n, "doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.crc32("ids")).mapInArrow(write, MANIFEST)
+    coded = docs.mapInArrow(encode, "part int, doc_id long, ids binary").repartition(n, "part")
+    rows = coded.sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), F.crc32("ids")).mapInArrow(write, MANIFEST)
     return _store.written(rows, "dac-manifest")
 
 

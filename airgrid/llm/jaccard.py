@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from airgrid.llm import _store, _words
@@ -329,8 +329,8 @@ def links_in_blocks(apart: DataFrame, sets: DataFrame, numerator: int) -> DataFr
     return dealt.join(whole, "node").groupBy("family", "i", "j").applyInArrow(compare, "a long, b long")
 
 
-def link(docs: DataFrame, numerator: int = NUMERATOR) -> tuple[DataFrame, DataFrame | None]:
-    """(doc_id, node and n of every document; node and comp of every linked node, or None if nothing links)."""
+def _link(docs: DataFrame, numerator: int) -> tuple[DataFrame, DataFrame, int]:
+    """(doc_id, node and n of every document; node and comp of every linked node; the seed of the nodes)."""
     for seed in range(8):
         found = _store.written(measure(docs, numerator, seed), "jaccard-sets")
         clash = found.groupBy("node").agg((F.min("chk") != F.max("chk")).alias("x")).where("x").limit(1).count()
@@ -355,7 +355,7 @@ def link(docs: DataFrame, numerator: int = NUMERATOR) -> tuple[DataFrame, DataFr
     for r in range(ROUNDS):
         apart = _apart(big, labels)
         if apart.isEmpty():
-            return rows, labels
+            return rows, labels, seed
         centres = apart.groupBy("token").agg(*[f(x, F.xxhash64("node", "token", F.lit(CENTRES * r + k))).alias(f"{x}{k}") for k in range(CENTRES) for f, x in ((F.min_by, "node"), (F.min_by, "n"), (F.min_by, "comp"))])
         centre = F.explode(F.array(*[F.struct(F.col(f"node{k}").alias("node"), F.col(f"n{k}").alias("n"), F.col(f"comp{k}").alias("comp")) for k in range(CENTRES)])).alias("c")
         star = apart.join(centres.select("token", centre), "token").where((F.col("comp") != F.col("c.comp")) & _fits(F.col("n"), F.col("c.n"), numerator))
@@ -372,16 +372,53 @@ def link(docs: DataFrame, numerator: int = NUMERATOR) -> tuple[DataFrame, DataFr
     if not apart.isEmpty():
         links = links.unionByName(_store.written(links_in_blocks(apart, sets, numerator), "jaccard-links"))
         labels = _store.written(components(links), "jaccard-labels")
-    return rows, labels
+    return rows, labels, seed
 
 
-def classes(docs: DataFrame, numerator: int = NUMERATOR) -> DataFrame:
-    """doc_id, node, n_shingles, component_id of every document."""
-    rows, labels = link(docs, numerator)
+def with_node(docs: DataFrame, seed: int, numerator: int) -> DataFrame:
+    """docs with the node of each text, in one pass that moves nothing."""
+    rest = docs.drop("_node").withColumn("text", F.col("text").cast("string"))
+    names = rest.columns
+
+    def run(batches):
+        for b in _words.small_batches(batches, "text", 2 << 20):
+            n, g, w = shingle_sets(b.column(names.index("text")))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(signatures(g, w, b.num_rows, seed)[0])], names=[*b.schema.names, "_node"])
+
+    return rest.mapInArrow(run, rest.withColumn("_node", F.lit(0).cast("long")).schema)
+
+
+def representatives(docs: DataFrame, numerator: int = NUMERATOR) -> DataFrame:
+    """docs with one row of each component, that whose doc_id names it; rows with the empty set all stay."""
+    rows, labels, seed = _link(docs, numerator)
+    named = _store.written(_named(rows, labels), "jaccard-classes").where("n > 0")
+    stay = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    gone = named.where(~stay).select("doc_id", "node")
+    twice = named.where(stay).groupBy("doc_id", "node", "comp").agg(F.count(F.lit(1)).alias("k"))
+    many = twice.withColumn("one", F.min("node").over(Window.partitionBy("comp"))).where((F.col("k") > 1) | (F.col("node") != F.col("one"))) if twice.groupBy("comp").agg(F.sum("k").alias("k")).where("k > 1").limit(1).count() else None
+    gone = _store.written(gone.distinct().select(F.col("doc_id").alias("_id"), F.col("node").alias("_gone")), "jaccard-gone")
+    small = gone.limit(200_001).count() <= 200_000
+    noded = with_node(docs, seed, numerator)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_node") == F.col("_gone"))
+    kept = noded.join(F.broadcast(gone) if small else gone, same, "left_anti")
+    if many is not None:  # rows repeated under one doc_id: one of them
+        many = _store.written(many.select(F.col("doc_id").alias("_id"), F.col("node").alias("_gone"), F.col("one").alias("_one")), "jaccard-many")
+        again = kept.join(many, same, "left")
+        kept = again.where("_one IS NULL").select(*kept.columns).unionByName(again.where("_one = _node").dropDuplicates(["doc_id", "_node"]).select(*kept.columns))
+    return kept.select(*docs.columns)
+
+
+def _named(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """rows with comp and component_id."""
     rows = rows.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     full = rows.where("n > 0")
     least = full.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
     least = _store.written(least, "jaccard-least")
     named = _store.bounded_join(full, least, "comp", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    out = named.unionByName(rows.where("n = 0").withColumn("component_id", F.col("doc_id")))
-    return out.select("doc_id", "node", F.col("n").cast("long").alias("n_shingles"), "component_id")
+    return named.unionByName(rows.where("n = 0").withColumn("component_id", F.col("doc_id")))
+
+
+def classes(docs: DataFrame, numerator: int = NUMERATOR) -> DataFrame:
+    """doc_id, node, n_shingles, component_id of every document."""
+    rows, labels, _ = _link(docs, numerator)
+    return _named(rows, labels).select("doc_id", "node", F.col("n").cast("long").alias("n_shingles"), "component_id")
