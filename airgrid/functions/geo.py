@@ -99,10 +99,10 @@ def circle_crossings(x0, y0, r0, x1, y1, r1) -> Column:
     """The points, none to two, where two circles of a plane cross, as an array of structs."""
     x0, y0, r0, x1, y1, r1 = (_c(v) for v in (x0, y0, r0, x1, y1, r1))
     d = F.hypot(x1 - x0, y1 - y0)
-    a = (r0 * r0 - r1 * r1 + d * d) / (d * 2)
+    a = F.try_divide(r0 * r0 - r1 * r1 + d * d, d * 2)
     h2 = r0 * r0 - a * a
-    mx, my = x0 + a * (x1 - x0) / d, y0 + a * (y1 - y0) / d
-    ox, oy = F.sqrt(h2) * (y1 - y0) / d, F.sqrt(h2) * (x1 - x0) / d
+    ex, ey = F.try_divide(x1 - x0, d), F.try_divide(y1 - y0, d)
+    mx, my, ox, oy = x0 + a * ex, y0 + a * ey, F.sqrt(h2) * ey, F.sqrt(h2) * ex
     both = F.array(F.struct((mx + ox).alias("x"), (my - oy).alias("y")), F.struct((mx - ox).alias("x"), (my + oy).alias("y")))
     return F.when((d > 0) & (d <= r0 + r1) & (d >= F.abs(r0 - r1)) & (h2 >= 0), both).otherwise(F.slice(both, 1, 0))
 

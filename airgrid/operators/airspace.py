@@ -133,6 +133,8 @@ def boundary(region: str, named: dict[str, list[Point]]) -> list[tuple[float, fl
         length = math.hypot(x2 - x1, y2 - y1)
         nx, ny = (y1 - y2) / length * 0.01, (x2 - x1) / length * 0.01
         for a, b in zip(ts, ts[1:], strict=False):
+            if (b - a) * length < 1e-6:
+                continue
             mx, my = x1 + (x2 - x1) * (a + b) / 2, y1 + (y2 - y1) * (a + b) / 2
             if inside((mx + nx, my + ny), region, named) != inside((mx - nx, my - ny), region, named):
                 out.append((x1 + (x2 - x1) * a, y1 + (y2 - y1) * a, x1 + (x2 - x1) * b, y1 + (y2 - y1) * b))
@@ -166,7 +168,7 @@ def windings(points: DataFrame, segments: DataFrame, key: str = "cell_id", x: st
 def segment_distance(x: Column, y: Column) -> Column:
     """From a point to the segment (x1, y1)-(x2, y2)."""
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - F.col("x1")) * dx + (y - F.col("y1")) * dy) / (dx * dx + dy * dy)))
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide((x - F.col("x1")) * dx + (y - F.col("y1")) * dy, dx * dx + dy * dy), F.lit(0.0))))
     return F.hypot(x - F.col("x1") - t * dx, y - F.col("y1") - t * dy)
 
 

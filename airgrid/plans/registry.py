@@ -87,13 +87,13 @@ def state_vector_scan(spark, d):
     return traffic.scan(spark, vectors, start_epoch=1704153600, end_epoch=1705881600, south=41.6, north=42.1, west=-88.2, east=-87.6, max_altitude_m=3000.0, sample_seconds=5)
 
 
-@query("""SELECT DISTINCT o_orderdate::DATE AS day, epoch(timezone('America/Chicago', o_orderdate::DATE::TIMESTAMP))::BIGINT AS start_epoch,
+@query("""SELECT DISTINCT strftime(o_orderdate, '%Y-%m-%d') AS day, epoch(timezone('America/Chicago', o_orderdate::DATE::TIMESTAMP))::BIGINT AS start_epoch,
 epoch(timezone('America/Chicago', (o_orderdate::DATE + 1)::TIMESTAMP))::BIGINT AS end_epoch,
 ((epoch(timezone('America/Chicago', o_orderdate::DATE::TIMESTAMP))::BIGINT // 3600) * 3600)::BIGINT AS start_hour FROM orders""")
 def day_window(spark, d):
     start, end = S.day_window(F.col("day"), "America/Chicago")
     days = table(spark, d, "orders").select(F.to_date("o_orderdate").alias("day")).distinct()
-    return days.select("day", start.alias("start_epoch"), end.alias("end_epoch"), S.hour_floor(start).alias("start_hour"))
+    return days.select(F.col("day").cast("string").alias("day"), start.alias("start_epoch"), end.alias("end_epoch"), S.hour_floor(start).alias("start_hour"))
 
 
 @query("""WITH c AS (SELECT c_custkey, 41.0::DOUBLE + (c_custkey % 100)::DOUBLE / 100.0::DOUBLE AS lat, -88.0::DOUBLE + (c_custkey % 77)::DOUBLE / 77.0::DOUBLE AS lon, (5 + c_custkey % 40)::DOUBLE AS nm FROM customer)

@@ -86,8 +86,8 @@ def smoothed_routes(spark: SparkSession, obs: DataFrame, grid: grids.Grid, datas
     cells = grid.cells(spark)
     end = lambda n, k: cells.select(F.col("cell_id").alias(n), F.col("cx").alias(f"x{k}"), F.col("cy").alias(f"y{k}"))
     sited = combined.join(end("src", 1), "src").join(end("dst", 2), "dst")
-    turned = graph.turn_paths(sited, ends(spark, grid), ["dataset_slug"], turn_weight)
-    plain = graph.shortest_paths(combined, ends(spark, grid), ["dataset_slug"])
+    turned = graph.turn_paths(sited, ends(spark, grid), ["dataset_slug"], turn_weight).persist()  # a few rows, used three times
+    plain = graph.shortest_paths(combined, ends(spark, grid), ["dataset_slug"]).persist()
     every = turned.withColumn("technique", F.lit("turn_penalty")).unionByName(plain.withColumn("technique", F.lit("spline"))).unionByName(turned.withColumn("technique", F.lit("turn_penalty_spline")))
     points = every.select(*keys, F.posexplode("path").alias("pos", "cell_id")).join(cells.select("cell_id", "cx", "cy"), "cell_id")
     degrees = points.select(*keys, "pos", geo.mercator_lon(F.col("cx")).alias("x"), geo.mercator_lat(F.col("cy")).alias("y"))
