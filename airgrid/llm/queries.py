@@ -22,7 +22,7 @@ def op1_noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     labels = _read(spark, sf_dir, "labels").select("doc_id", "toxic").where(fold(F.col("doc_id")) % 5 != 0)
-    model = toxicity.learn(docs.join(labels, "doc_id"), toxicity.corpus_trigrams(docs))
+    model = toxicity.learn(docs, labels, toxicity.corpus_trigrams(docs))
     held = F.coalesce(fold(F.col("doc_id")) % 5 == 0, F.lit(False))
     out = toxicity.score(docs, model)
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

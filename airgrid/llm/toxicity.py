@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from airgrid.llm import _words
+from airgrid.llm import _store, _words
 
 FIT = 24_000
 MIN_TOXIC = 6
@@ -159,15 +159,13 @@ class Restorer:
         hits = marked(data)
         if not len(hits):
             return low
-        ends = np.unique(np.concatenate([np.flatnonzero(data == 10), offsets[1:]]))  # of lines
-        begins = np.unique(np.concatenate([offsets[:-1], np.flatnonzero(data == 10) + 1]))
+        begins = np.unique(np.concatenate([offsets, np.flatnonzero(data == 10) + 1]))  # of lines, and the end
         lines = np.unique(np.searchsorted(begins, hits, "right") - 1)
         owner = np.searchsorted(offsets, begins[lines], "right") - 1
         new: dict[int, list[bytes]] = {}
         done: dict[int, int] = {}
         for k, doc in zip(lines.tolist(), owner.tolist(), strict=True):
-            begin = int(begins[k])
-            end = int(ends[np.searchsorted(ends, begin)])
+            begin, end = int(begins[k]), int(begins[k + 1])
             parts = new.setdefault(doc, [])
             parts += [data[done.get(doc, int(offsets[doc])) : begin].tobytes(), self.restore(data[begin:end].tobytes())]
             done[doc] = end
@@ -274,10 +272,11 @@ def _held(sent) -> tuple[Model, Restorer]:
     return _current[0]
 
 
-def learn(labelled: DataFrame, trigrams: np.ndarray, fit: int = FIT) -> Model:
-    """A model from (doc_id, text, toxic)."""
-    spark = labelled.sparkSession
-    rows = labelled.where("doc_id IS NOT NULL AND text IS NOT NULL AND toxic IN (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("toxic").cast("int").alias("toxic"))
+def learn(docs: DataFrame, labels: DataFrame, trigrams: np.ndarray, fit: int = FIT) -> Model:
+    """A model from docs (doc_id, text) and labels (doc_id, toxic). Labels are sampled before they meet texts, so the texts are
+    filtered where they lie, and what is read again is a table of about fit of them."""
+    spark = docs.sparkSession
+    known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     empty = Model(trigrams, np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.uint64))
     sent = spark.sparkContext.broadcast(empty)
 
@@ -317,12 +316,14 @@ def learn(labelled: DataFrame, trigrams: np.ndarray, fit: int = FIT) -> Model:
                 yield out
 
     schema = "f long, head long, toxic long, n long"
-    sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     total, bad = sum(sizes.values()), sizes.get(1, 0)
     if not bad or bad == total:
         share = bad / total if total else 0.0
         return Model(trigrams, empty.hashes, empty.odds, empty.heads, 1.0, math.log((share + 1e-4) / (1 - share + 1e-4)))
-    rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30) < min(1.0, fit / total)).select("text", "toxic")
+    drawn = _store.written(known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30) < min(1.0, fit / total)), "toxicity-labels")
+    texts = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = _store.written(_store.bounded_join(texts, drawn, "doc_id").select("text", "toxic"), "toxicity-fit")
     seen = rows.where("toxic = 1").mapInArrow(tables, schema).groupBy("f").agg(F.sum("n").alias("n"), F.min("head").alias("head")).where(F.col("n") >= MIN_TOXIC)
     candidates = seen.collect()  # features in MIN_TOXIC of the fitted toxic texts or more: bounded by fit
     order = np.argsort(np.array([r["f"] for r in candidates], dtype=np.int64).view(np.uint64))
