@@ -15,37 +15,37 @@ def catmull_rom(points: DataFrame, keys: list[str], order: str = "pos", samples:
     neighbours; lines of under four points stay. One window sort per line."""
     w = Window.partitionBy(*keys).orderBy(order)
     n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    rows = points.select(*keys, "x", "y", (F.row_number().over(w) - 1).alias("i"), n.alias("n"))
-    w = Window.partitionBy(*keys).orderBy("i")
+    rows = points.select(*keys, "x", "y", (F.row_number().over(w) - 1).alias("_i"), n.alias("_n"))
+    w = Window.partitionBy(*keys).orderBy("_i")
     near = {f"{c}{k}": F.coalesce(F.lag(c, -k).over(w), F.lead(c, 1).over(w) if k == 2 else F.col(c)) for c in "xy" for k in (-1, 1, 2)}
     rows = rows.withColumns(near)
-    t = F.col("k") / samples
+    t = F.col("_k") / samples
 
     def curve(c):
         p0, p1, p2, p3 = F.col(f"{c}-1"), F.col(c), F.col(f"{c}1"), F.col(f"{c}2")
         return (p1 * 2 + (p2 - p0) * t + (p0 * 2 - p1 * 5 + p2 * 4 - p3) * t * t + (p1 * 3 - p0 - p2 * 3 + p3) * t * t * t) * 0.5
 
     first = F.array(F.lit(0))
-    ks = F.when(F.col("n") < 4, first).when(F.col("i") == F.col("n") - 1, F.array().cast("array<int>")).when(F.col("i") == 0, F.sequence(F.lit(0), F.lit(samples))).otherwise(F.sequence(F.lit(1), F.lit(samples)))
-    out = rows.withColumn("k", F.explode(ks))
-    keep = F.col("k") == 0
-    pos = F.when(F.col("n") < 4, F.col("i")).otherwise(F.col("i") * samples + F.col("k"))
+    ks = F.when(F.col("_n") < 4, first).when(F.col("_i") == F.col("_n") - 1, F.array().cast("array<int>")).when(F.col("_i") == 0, F.sequence(F.lit(0), F.lit(samples))).otherwise(F.sequence(F.lit(1), F.lit(samples)))
+    out = rows.withColumn("_k", F.explode(ks))
+    keep = F.col("_k") == 0
+    pos = F.when(F.col("_n") < 4, F.col("_i")).otherwise(F.col("_i") * samples + F.col("_k"))
     return out.select(*keys, pos.cast("long").alias("pos"), F.when(keep, F.col("x")).otherwise(curve("x")).alias("x"), F.when(keep, F.col("y")).otherwise(curve("y")).alias("y"))
 
 
 def sample_lines(points: DataFrame, keys: list[str], order: str = "pos", spacing: float = 75.0) -> DataFrame:
-    """keys, d, x, y: points every `spacing` along each line from its start, and its end."""
+    """keys, along, x, y: points every `spacing` along each line from its start, and its end."""
     w = Window.partitionBy(*keys).orderBy(order)
     ahead = points.withColumns({"_x": F.lead("x").over(w), "_y": F.lead("y").over(w)})
-    ahead = ahead.withColumn("len", F.coalesce(F.hypot(F.col("_x") - F.col("x"), F.col("_y") - F.col("y")), F.lit(0.0)))
-    ahead = ahead.withColumn("to", F.sum("len").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("at", F.col("to") - F.col("len"))
+    ahead = ahead.withColumn("_len", F.coalesce(F.hypot(F.col("_x") - F.col("x"), F.col("_y") - F.col("y")), F.lit(0.0)))
+    ahead = ahead.withColumn("_to", F.sum("_len").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_at", F.col("_to") - F.col("_len"))
     last = F.col("_x").isNull()
-    first, end = F.ceil(F.col("at") / spacing), F.ceil(F.col("to") / spacing) - 1
-    steps = F.when(last, F.array(F.col("to"))).when(end >= first, F.transform(F.sequence(first, F.greatest(first, end)), lambda k: k * spacing)).otherwise(F.array().cast("array<double>"))
-    out = ahead.withColumn("d", F.explode(steps))
-    part = F.when(last | (F.col("len") == 0), 0.0).otherwise((F.col("d") - F.col("at")) / F.col("len"))
+    first, end = F.ceil(F.col("_at") / spacing), F.ceil(F.col("_to") / spacing) - 1
+    steps = F.when(last, F.array(F.col("_to"))).when(end >= first, F.transform(F.sequence(first, F.greatest(first, end)), lambda k: k * spacing)).otherwise(F.array().cast("array<double>"))
+    out = ahead.withColumn("along", F.explode(steps))
+    part = F.when(last | (F.col("_len") == 0), 0.0).otherwise((F.col("along") - F.col("_at")) / F.col("_len"))
     move = lambda c: F.when(last, F.col(c)).otherwise(F.col(c) + (F.col(f"_{c}") - F.col(c)) * part)
-    return out.select(*keys, "d", move("x").alias("x"), move("y").alias("y"))
+    return out.select(*keys, "along", move("x").alias("x"), move("y").alias("y"))
 
 
 def cell_paths(points: DataFrame, keys: list[str], grid: Grid, edges: DataFrame, by: list[str]) -> DataFrame:
@@ -54,8 +54,8 @@ def cell_paths(points: DataFrame, keys: list[str], grid: Grid, edges: DataFrame,
     nx, ny = grid.shape
     ix, iy = grid.index(F.col("x"), F.col("y"))
     cell = F.least(F.greatest(ix, F.lit(0)), F.lit(nx - 1)) * ny + F.least(F.greatest(iy, F.lit(0)), F.lit(ny - 1))
-    rows = graph.cells_deduped(points.withColumn("cell_id", cell.cast("long")), keys, "d")
-    line = F.transform(F.sort_array(F.collect_list(F.struct("d", "cell_id"))), lambda p: p["cell_id"])
+    rows = graph.cells_deduped(points.withColumn("cell_id", cell.cast("long")), keys, "along")
+    line = F.transform(F.sort_array(F.collect_list(F.struct("along", "cell_id"))), lambda p: p["cell_id"])
     lines = rows.groupBy(*keys).agg(line.alias("path"))
     kinds = {f.name: f.dataType.simpleString() for f in lines.schema.fields}
 

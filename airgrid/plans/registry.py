@@ -536,7 +536,7 @@ def turn_penalty(spark, d):
 c AS (SELECT *, sum(len) OVER (PARTITION BY line ORDER BY pos) AS to_d FROM w), k AS (SELECT *, to_d - len AS at_d FROM c), s AS (SELECT k.*, u.i * 7500.0 AS d FROM k, LATERAL (SELECT unnest(range(ceil(at_d / 7500.0)::BIGINT, ceil(to_d / 7500.0)::BIGINT)) AS i) u WHERE x2 IS NOT NULL)
 SELECT line, round(d, 3) AS d, round(x + (x2 - x) * ((d - at_d) / len), 3) AS x, round(y + (y2 - y) * ((d - at_d) / len), 3) AS y FROM s UNION ALL SELECT line, round(to_d, 3), round(x, 3), round(y, 3) FROM k WHERE x2 IS NULL""")
 def line_sampling(spark, d):
-    return rounded(smoothing.sample_lines(_lines(spark, d), ["line"], spacing=7500.0), "d", "x", "y", digits=3)
+    return rounded(smoothing.sample_lines(_lines(spark, d), ["line"], spacing=7500.0).withColumnRenamed("along", "d"), "d", "x", "y", digits=3)
 
 
 @query(f"WITH {OBS}, {PLACED}, c AS (SELECT event_id, icao24, cell_id // ({NY} * 40) AS zone, lag(cell_id // ({NY} * 40)) OVER (PARTITION BY icao24 ORDER BY time, event_id) AS before FROM placed) SELECT event_id, icao24, zone FROM c WHERE before IS NULL OR before <> zone")
