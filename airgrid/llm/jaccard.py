@@ -1,7 +1,8 @@
 """Exact Jaccard join of word shingles by vertical partitioning, and its components.
 
 The global order of shingles is (common, hash): the rare ones by hash, then the common ones. Hash ranges cut it into FRAGMENTS. Two
-sets can only link if they share a shingle of their prefixes in that order, so prefixes give the candidates. For a candidate
+sets can only link if their prefixes in that order share shingles, a number that grows with their size, so prefixes give the
+candidates. For a candidate
 pair the overlaps are counted fragment by fragment, each on its own, and summed per pair: the first fragment with a bound on the
 others drops most pairs, the rest are joined fragment by fragment for those left.
 
@@ -10,7 +11,7 @@ once it is known which are common and which stand alone; and for the sets of can
 bitmaps of bounded size, in which a false hit costs time and changes nothing.
 
 No group is expanded into its pairs. Equal sets are one node. A shingle shared by up to SMALL nodes gives its pairs. One shared
-by more gives each member a pair with a few centres of its own, in rounds, as long as members lie in different components; what is
+by more gives centres, and each member a pair with a few of them, in rounds, as long as members lie in different components; what is
 still apart then is compared exactly in blocks of BLOCK nodes that return a spanning forest of their links. A pair already in one
 component needs no test, since only components are returned.
 
@@ -80,9 +81,15 @@ def signatures(g: np.ndarray, w: np.ndarray, texts: int, seed: int) -> tuple[np.
     return out[0], out[1]
 
 
+def hits(n):
+    """Shared shingles that prefixes of sets of n must have at least, if the sets share as many; grows with n. Works on arrays and
+    on columns alike."""
+    return n * 3 // 100 + 1 if isinstance(n, np.ndarray) else F.floor(n * 3 / 100) + 1
+
+
 def need(n: np.ndarray, numerator: int = NUMERATOR) -> np.ndarray:
-    """Length of a prefix that a linked set must hit."""
-    return n - -(-numerator * n // 100) + 1
+    """Length of a prefix: the first hits(n) shingles that a set shares with any it links to lie within."""
+    return np.minimum(n, n - -(-numerator * n // 100) + hits(n))
 
 
 def prefixes(n: np.ndarray, g: np.ndarray, w: np.ndarray, common: np.ndarray | None, numerator: int) -> np.ndarray:
@@ -199,11 +206,15 @@ def _fits(a: Column, b: Column, numerator: int) -> Column:
 
 
 def pairs_of_small(members: DataFrame, numerator: int) -> DataFrame:
-    """a < b with their sizes, from shingles of few members."""
+    """a < b with their sizes, from shingles of few members: pairs that meet in as many prefix shingles as linked ones must. A
+    linked pair that meets in fewer of these also meets in a shingle of many members, and is left to that."""
     lists = members.groupBy("token").agg(F.collect_list(F.struct("node", "n")).alias("all"))
     one = lists.select(F.explode("all").alias("x"), "all")
     both = one.select("x", F.explode(F.filter("all", lambda y: (y["node"] > F.col("x.node")) & _fits(y["n"], F.col("x.n"), numerator))).alias("y"))
-    return both.select(F.col("x.node").alias("a"), F.col("x.n").alias("na"), F.col("y.node").alias("b"), F.col("y.n").alias("nb")).distinct()
+    met = both.groupBy(F.col("x.node").alias("a"), F.col("x.n").alias("na"), F.col("y.node").alias("b"), F.col("y.n").alias("nb")).agg(F.count(F.lit(1)).alias("c"))
+    total = F.col("na").cast("long") + F.col("nb")
+    enough = (F.col("c") >= hits(F.least("na", "nb"))) | ((100 + numerator) * F.col("c") >= numerator * total)
+    return met.where(enough).drop("c")
 
 
 def links_among(pairs: DataFrame, sets: DataFrame, numerator: int) -> DataFrame:
@@ -359,6 +370,8 @@ def _link(docs: DataFrame, numerator: int) -> tuple[DataFrame, DataFrame, int]:
         centres = apart.groupBy("token").agg(*[f(x, F.xxhash64("node", "token", F.lit(CENTRES * r + k))).alias(f"{x}{k}") for k in range(CENTRES) for f, x in ((F.min_by, "node"), (F.min_by, "n"), (F.min_by, "comp"))])
         centre = F.explode(F.array(*[F.struct(F.col(f"node{k}").alias("node"), F.col(f"n{k}").alias("n"), F.col(f"comp{k}").alias("comp")) for k in range(CENTRES)])).alias("c")
         star = apart.join(centres.select("token", centre), "token").where((F.col("comp") != F.col("c.comp")) & _fits(F.col("n"), F.col("c.n"), numerator))
+        draws = [F.min_by("c", F.xxhash64("c.node", "node", F.lit(100 + CENTRES * r + k))).alias(f"d{k}") for k in range(CENTRES)]  # of all its shingles' centres, a few
+        star = star.groupBy("node", "n").agg(*draws).select("node", "n", F.explode(F.array_distinct(F.array(*[f"d{k}" for k in range(CENTRES)]))).alias("c"))
         order = F.col("node") < F.col("c.node")
         pick = lambda x, y: F.when(order, F.col(x)).otherwise(F.col(y))
         star = star.select(pick("node", "c.node").alias("a"), pick("n", "c.n").alias("na"), pick("c.node", "node").alias("b"), pick("c.n", "n").alias("nb")).distinct()
