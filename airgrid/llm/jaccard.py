@@ -165,7 +165,8 @@ def measure(docs: DataFrame, numerator: int = NUMERATOR, seed: int = 0) -> DataF
 
 
 def shared_prefixes(docs: DataFrame, shared: np.ndarray, common: np.ndarray, numerator: int, seed: int) -> DataFrame:
-    """token, node, n: prefixes with common shingles last, without the shingles known to stand alone."""
+    """token, node, n, fresh: prefixes with common shingles last, without the shingles known to stand alone among prefixes in plain
+    hash order; fresh: not in that one."""
     spark = docs.sparkSession
     s, c = spark.sparkContext.broadcast(shared), spark.sparkContext.broadcast(common)
 
@@ -174,9 +175,25 @@ def shared_prefixes(docs: DataFrame, shared: np.ndarray, common: np.ndarray, num
         old, flag = prefixes(n, g, w, None, numerator), _hit(c.value, g)
         new = prefixes(n, g, w, flag, numerator)
         ok = np.flatnonzero(new & (~old | _hit(s.value, g)))
-        return pa.record_batch([pa.array(g[ok].view(np.int64)), pa.array(node[w[ok]]), pa.array(n[w[ok]].astype(np.int32))], names=["token", "node", "n"])
+        return pa.record_batch([pa.array(g[ok].view(np.int64)), pa.array(node[w[ok]]), pa.array(n[w[ok]].astype(np.int32)), pa.array(~old[ok])], names=["token", "node", "n", "fresh"])
 
-    return _pass(docs, each, "token long, node long, n int")
+    return _pass(docs, each, "token long, node long, n int, fresh boolean")
+
+
+def met_by_fresh(found: DataFrame, fresh: np.ndarray) -> DataFrame:
+    """token, node, n: shingles of the stored plain prefixes that may stand in another set's prefix only since common ones went
+    last."""
+    sent = found.sparkSession.sparkContext.broadcast(fresh)
+
+    def run(batches):
+        for b in batches:
+            lists = b.column(2)
+            values = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            owner = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
+            ok = np.flatnonzero(_hit(sent.value, values))
+            yield pa.record_batch([pa.array(values[ok].view(np.int64)), b.column(0).take(pa.array(owner[ok])), b.column(1).take(pa.array(owner[ok]))], names=["token", "node", "n"])
+
+    return found.select("node", "n", "prefix").mapInArrow(run, "token long, node long, n int")
 
 
 def sets_of(docs: DataFrame, nodes: np.ndarray, seed: int) -> DataFrame:
@@ -352,8 +369,9 @@ def _link(docs: DataFrame, numerator: int) -> tuple[DataFrame, DataFrame, int]:
     met = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("token", "m")
     met = _store.written(met, "jaccard-met")
     shared, common = bitmap(met, "token"), bitmap(met.where(F.col("m") > COMMON), "token")
-    members = shared_prefixes(docs, shared, common, numerator, seed).groupBy("token", "node").agg(F.max("n").alias("n"))
-    members = _store.written(members, "jaccard-prefixes")
+    members = _store.written(shared_prefixes(docs, shared, common, numerator, seed), "jaccard-prefixes")
+    more = met_by_fresh(found, bitmap(members.where("fresh"), "token"))
+    members = _store.written(members.drop("fresh").unionByName(more).groupBy("token", "node").agg(F.max("n").alias("n")), "jaccard-tokens")
     size = members.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     members = _store.written(members.join(size, "token"), "jaccard-buckets")
     pairs = _store.written(pairs_of_small(members.where(F.col("m") <= SMALL), numerator), "jaccard-pairs")
