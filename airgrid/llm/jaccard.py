@@ -223,12 +223,12 @@ def _fits(a: Column, b: Column, numerator: int) -> Column:
 
 
 def pairs_of_small(members: DataFrame, numerator: int) -> DataFrame:
-    """a < b with their sizes, from shingles of few members: pairs that meet in as many prefix shingles as linked ones must. A
-    linked pair that meets in fewer of these also meets in a shingle of many members, and is left to that."""
-    lists = members.groupBy("token").agg(F.collect_list(F.struct("node", "n")).alias("all"))
+    """a < b with their sizes, from shingles of few members: pairs that meet in as many prefix shingles as linked ones must, if they
+    share all shingles of many members (big: how many a node has) that they can."""
+    lists = members.groupBy("token").agg(F.collect_list(F.struct("node", "n", "big")).alias("all"))
     one = lists.select(F.explode("all").alias("x"), "all")
     both = one.select("x", F.explode(F.filter("all", lambda y: (y["node"] > F.col("x.node")) & _fits(y["n"], F.col("x.n"), numerator))).alias("y"))
-    met = both.groupBy(F.col("x.node").alias("a"), F.col("x.n").alias("na"), F.col("y.node").alias("b"), F.col("y.n").alias("nb")).agg(F.count(F.lit(1)).alias("c"))
+    met = both.groupBy(F.col("x.node").alias("a"), F.col("x.n").alias("na"), F.col("y.node").alias("b"), F.col("y.n").alias("nb")).agg((F.count(F.lit(1)) + F.max(F.least("x.big", "y.big"))).alias("c"))
     total = F.col("na").cast("long") + F.col("nb")
     enough = (F.col("c") >= hits(F.least("na", "nb"))) | ((100 + numerator) * F.col("c") >= numerator * total)
     return met.where(enough).drop("c")
@@ -374,8 +374,13 @@ def _link(docs: DataFrame, numerator: int) -> tuple[DataFrame, DataFrame, int]:
     members = _store.written(members.drop("fresh").unionByName(more).groupBy("token", "node").agg(F.max("n").alias("n")), "jaccard-tokens")
     size = members.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     members = _store.written(members.join(size, "token"), "jaccard-buckets")
-    pairs = _store.written(pairs_of_small(members.where(F.col("m") <= SMALL), numerator), "jaccard-pairs")
     big = members.where(F.col("m") > SMALL).drop("m")
+    held = big.groupBy("node").agg(F.count(F.lit(1)).alias("big"))
+    few = members.where(F.col("m") <= SMALL).join(held, "node", "left").withColumn("big", F.coalesce("big", F.lit(0).cast("long")))
+    pairs = _store.written(pairs_of_small(few, numerator), "jaccard-pairs")
+    # a linked pair without a shingle of few members meets in these alone: who holds too few of them for that has no such pair
+    least = F.least(hits(F.floor(F.col("n") * numerator / 100)), F.ceil(F.col("n") * numerator / 100))
+    big = _store.written(big.join(held.where("big > 0"), "node").where(F.col("big") >= least).drop("big"), "jaccard-big")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).unionByName(big.select("node"))
     sets = _store.written(sets_of(docs, bitmap(wanted, "node"), seed), "jaccard-fragments")
     links = _store.written(links_among(pairs, sets, numerator), "jaccard-links")
