@@ -274,7 +274,7 @@ def _held(sent) -> tuple[Model, Restorer]:
 
 def learn(docs: DataFrame, labels: DataFrame, trigrams: np.ndarray, fit: int = FIT) -> Model:
     """A model from docs (doc_id, text) and labels (doc_id, toxic). Labels are sampled before they meet texts, so the texts are
-    filtered where they lie, and what is read again is a table of about fit of them."""
+    filtered where they lie (no exchange of texts), and what is read again is a table of about fit of them."""
     spark = docs.sparkSession
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     empty = Model(trigrams, np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.uint64))
