@@ -299,7 +299,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer_path: str, end_id: int = 2
     """Encodes every text and writes the ids, end id last, in ascending doc_id order; returns the committed manifest.
 
     Encoding goes before the one exchange, so what moves is ids of two bytes, not texts. Parts are ranges of doc_id between
-    approximate quantiles, found from that column alone, so no text is encoded twice to sample the ranges; a part holds any
+    approximate quantiles, found from that column alone, so no text is encoded twice, and no ids are stored, to sample the ranges; a part holds any
     number of files, each of about segment_tokens ids, so no task holds more than one file's ids.
     """
     spark = docs.sparkSession
