@@ -215,6 +215,17 @@ def sets_of(docs: DataFrame, nodes: np.ndarray, seed: int) -> DataFrame:
     return _pass(docs, each, "node long, frag int, tokens array<long>").dropDuplicates(["node", "frag"])
 
 
+def held(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of sets of (a superset of) the nodes, so that a join with few nodes does not move all sets."""
+    sent = sets.sparkSession.sparkContext.broadcast(bitmap(nodes, "node"))
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(_hit(sent.value, b.column(0).to_numpy())))
+
+    return sets.select("node", "frag", "tokens").mapInArrow(run, "node long, frag int, tokens array<long>")
+
+
 # ---- candidates, overlaps, links -------------------------------------------------------------------------------------
 
 
@@ -238,14 +249,15 @@ def links_among(pairs: DataFrame, sets: DataFrame, numerator: int) -> DataFrame:
     """The pairs that link: overlaps counted fragment by fragment, then summed per pair."""
     exact = lambda o: (100 + numerator) * o >= numerator * (F.col("na").cast("long") + F.col("nb"))
     side = lambda s, name: s.select(F.col("node").alias(name), F.col("tokens").alias(f"t{name}"), F.col("frag").alias(f"f{name}"))
-    low = sets.where("frag = 0")
+    ends = lambda p: p.select(F.col("a").alias("node")).union(p.select("b"))
+    low = held(sets.where("frag = 0"), ends(pairs))
     empty = F.array().cast("array<bigint>")
     first = pairs.join(side(low, "a").drop("fa"), "a", "left").join(side(low, "b").drop("fb"), "b", "left")
     ta, tb = F.coalesce("ta", empty), F.coalesce("tb", empty)
     first = first.withColumns({"o": F.size(F.array_intersect(ta, tb)), "rest": F.least(F.col("na") - F.size(ta), F.col("nb") - F.size(tb))})
     left = _store.written(first.where(exact(F.col("o") + F.col("rest"))).select("a", "na", "b", "nb", "o"), "jaccard-left")
     cut = left.select("a", "b", F.explode(F.sequence(F.lit(1), F.lit(FRAGMENTS - 1))).alias("frag"))
-    high = sets.where("frag > 0")
+    high = held(sets.where("frag > 0"), ends(left))
     cut = cut.join(side(high, "a").withColumnRenamed("fa", "frag"), ["a", "frag"]).join(side(high, "b").withColumnRenamed("fb", "frag"), ["b", "frag"])
     parts = cut.select("a", "b", F.size(F.array_intersect("ta", "tb")).alias("o"))
     total = left.select("a", "b", "o").unionByName(parts).groupBy("a", "b").agg(F.sum("o").alias("overlap"))
@@ -330,7 +342,7 @@ def links_in_blocks(apart: DataFrame, sets: DataFrame, numerator: int) -> DataFr
     placed = nodes.join(many, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = placed.select("node", "n", "comp", "family", "block", other).select("node", "n", "comp", "family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    whole = sets.groupBy("node").agg(F.flatten(F.collect_list("tokens")).alias("tokens"))
+    whole = held(sets, apart).groupBy("node").agg(F.flatten(F.collect_list("tokens")).alias("tokens"))
 
     def compare(table: pa.Table) -> pa.Table:
         node, comp = table["node"].to_numpy(), table["comp"].to_pylist()
@@ -375,12 +387,12 @@ def _link(docs: DataFrame, numerator: int) -> tuple[DataFrame, DataFrame, int]:
     size = members.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     members = _store.written(members.join(size, "token"), "jaccard-buckets")
     big = members.where(F.col("m") > SMALL).drop("m")
-    held = big.groupBy("node").agg(F.count(F.lit(1)).alias("big"))
-    few = members.where(F.col("m") <= SMALL).join(held, "node", "left").withColumn("big", F.coalesce("big", F.lit(0).cast("long")))
+    carried = big.groupBy("node").agg(F.count(F.lit(1)).alias("big"))
+    few = members.where(F.col("m") <= SMALL).join(carried, "node", "left").withColumn("big", F.coalesce("big", F.lit(0).cast("long")))
     pairs = _store.written(pairs_of_small(few, numerator), "jaccard-pairs")
     # a linked pair without a shingle of few members meets in these alone: who holds too few of them for that has no such pair
     least = F.least(hits(F.floor(F.col("n") * numerator / 100)), F.ceil(F.col("n") * numerator / 100))
-    big = _store.written(big.join(held.where("big > 0"), "node").where(F.col("big") >= least).drop("big"), "jaccard-big")
+    big = _store.written(big.join(carried.where("big > 0"), "node").where(F.col("big") >= least).drop("big"), "jaccard-big")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).unionByName(big.select("node"))
     sets = _store.written(sets_of(docs, bitmap(wanted, "node"), seed), "jaccard-fragments")
     links = _store.written(links_among(pairs, sets, numerator), "jaccard-links")
