@@ -82,7 +82,7 @@ def grid_routes(spark: SparkSession, obs: DataFrame, grid: grids.Grid, datasets:
 def smoothed_routes(spark: SparkSession, obs: DataFrame, grid: grids.Grid, datasets: list[str] | None = None, turn_weight: float = 1.5, samples: int = 6) -> DataFrame:
     """Three ways to smooth the combined routes: turn penalties, a spline, both; with the search's cost and the base weights'."""
     keys = ["dataset_slug", "destination", "technique"]
-    combined = weighted_edges(spark, obs, grid, graph.presets(spark).where("route_name = 'combined'"), datasets or K.DATASETS[:2]).select("dataset_slug", "src", "dst", "weight")
+    combined = weighted_edges(spark, obs, grid, graph.presets(spark).where("route_name = 'combined'"), datasets or K.DATASETS).select("dataset_slug", "src", "dst", "weight")
     cells = grid.cells(spark)
     end = lambda n, k: cells.select(F.col("cell_id").alias(n), F.col("cx").alias(f"x{k}"), F.col("cy").alias(f"y{k}"))
     sited = combined.join(end("src", 1), "src").join(end("dst", 2), "dst")

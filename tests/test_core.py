@@ -2,6 +2,7 @@
 
 import json
 import math
+import os
 import random
 import struct
 
@@ -13,7 +14,7 @@ from airgrid.functions import geo
 from airgrid.functions import scalars as S
 from airgrid.operators import airspace, graph, normalize, reports, risk, smoothing, tracks, traffic
 from airgrid.operators.grid import Grid, edges, locate
-from airgrid.plans import routes
+from airgrid.plans import registry, routes
 from airgrid.sinks import writers
 from airgrid.sources import constants as K
 from airgrid.sources import readers
@@ -255,3 +256,13 @@ def test_entry(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).limit(1).count() == 1
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="driver tables are absent")
+def test_smoothed_routes_cover_every_date(spark):
+    got = registry.QUERIES["turn_penalty_routes"](spark, "/root/testdata/sf0.001").collect()
+    assert {(r["dataset_slug"], r["technique"], r["destination"]) for r in got} == {(s, t, d[0]) for s in K.DATASETS for t in ("turn_penalty", "spline", "turn_penalty_spline") for d in K.DESTINATIONS}
+    combined = graph.presets(spark).where("route_name = 'combined'")
+    edges_ = routes.weighted_edges(spark, registry.observed(spark, "/root/testdata/sf0.001"), Grid(), combined, K.DATASETS)
+    want = {(r["dataset_slug"], r["destination"]): r["total_cost"] for r in graph.shortest_paths(edges_, routes.ends(spark, Grid()), ["dataset_slug"]).collect()}
+    assert {(r["dataset_slug"], r["destination"]): r["total_cost"] for r in got if r["technique"] == "spline"} == pytest.approx(want)
