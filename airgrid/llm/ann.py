@@ -4,8 +4,13 @@ Largest inner product becomes nearest in Euclid's distance: a vector v is scaled
 sqrt(1 - |v|^2); a query is scaled to norm 1 and gets 0. Each of TABLES tables hashes a point by m functions
 floor((a.x + b) / WIDTH) with Gaussian a; m grows with the logarithm of the rows, so buckets keep their size. A query visits its
 own bucket and perturbed ones in order of estimated success: the sum of squared distances from its projections to the slots
-entered. How many are visited is set by a bounded sample: the fewest that find TARGET of the sample's exact neighbours (in a
-sample neighbours lie farther, so the whole data do better). If no number does, buckets are made coarser.
+entered. How many are visited first is set by a bounded sample: the fewest that find TARGET of the sample's exact neighbours. If no
+number does, buckets are made coarser.
+
+That number only decides what is cheap. A point that every table missed projects at least as far from the query as the nearest slots
+left out, so it is at least that far divided by the spectral norm of the table's functions. A query whose k-th score beats all that
+such a point can reach is done; every other one, and each that found fewer than k, is compared with all rows in blocks, which need
+only return what reaches the k-th score found. So the result is exact, and on unclustered vectors the cost is that of all pairs.
 
 Every row is indexed, and candidates of all tables are ranked by exact inner products in double precision on the original
 vectors. Buckets are dealt to groups of about GROUP vectors, larger buckets being split over several; a query goes once to each
@@ -25,9 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from airgrid.llm import _store
+
 TABLES, WIDTH, TARGET = 2, 1.5, 0.97
 SAMPLE, SAMPLE_QUERIES = 4000, 200
 BUCKET, GROUP, FLUSH = 800, 16_384, 50_000
+#: Queries sent at once to all rows, and rows of a task that compares them.
+CHUNK, BLOCK = 20_000, 4096
 
 
 def valid(vectors: DataFrame) -> DataFrame:
@@ -73,18 +82,36 @@ class Hashing:
             out ^= out >> np.uint64(29)
         return (out >> np.uint64(1)).astype(np.int64)
 
-    def visits(self, x: np.ndarray, t: int, n: int) -> np.ndarray:
-        """Codes of the n buckets that each query visits first, in that order."""
-        s, f = self.slots(x, t)
-        cost = np.zeros((len(x), self.probes))
+    def costs(self, f: np.ndarray) -> np.ndarray:
+        """Squared distances, in slots, from places f in their own slots to the slots of every move."""
+        cost = np.zeros((len(f), self.probes))
         for k in range(self.m):
             d = self.moves[:, k]
             up = np.where(d > 0, d - f[:, k : k + 1], 0.0)
             down = np.where(d < 0, f[:, k : k + 1] - d - 1, 0.0)
             cost += np.square(np.maximum(up, down))
-        order = np.argsort(cost, axis=1, kind="stable")[:, :n]
+        return cost
+
+    def visits(self, x: np.ndarray, t: int, n: int) -> np.ndarray:
+        """Codes of the n buckets that each query visits first, in that order."""
+        s, f = self.slots(x, t)
+        order = np.argsort(self.costs(f), axis=1, kind="stable")[:, :n]
         return self.code(s[:, None, :] + self.moves[order], t)
 
+    def beyond(self, x: np.ndarray, n: int) -> np.ndarray:
+        """Distance that points have at least which are in none of the n buckets that a query visits first in each table."""
+        out = np.zeros(len(x))
+        for t in range(TABLES):
+            _, f = self.slots(x, t)
+            if self.m <= 6:
+                left = np.full(len(x), float(self.moves.max()) ** 2)
+            else:  # moves not listed change four functions or more, or one by two slots
+                left = np.minimum(1.0, np.sort(np.square(np.minimum(f, 1 - f)), axis=1)[:, :4].sum(axis=1))
+            if n < self.probes:
+                left = np.minimum(left, np.partition(self.costs(f), n, axis=1)[:, n])
+            out = np.maximum(out, np.sqrt(left) * WIDTH / np.linalg.norm(self.a[t], 2))
+        return out
+
 
 def fit(sample: np.ndarray, rows: int, top: float, k: int, target: float = TARGET) -> tuple[Hashing, int]:
     """Functions per table and buckets to visit."""
@@ -112,7 +139,7 @@ def fit(sample: np.ndarray, rows: int, top: float, k: int, target: float = TARGE
 
 
 def search(vectors: DataFrame, every: int = 20, k: int = 20, target: float = TARGET) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of every vector whose id is divisible by every."""
+    """query_id, rank, vec_id, score: the k nearest of every vector whose id is divisible by every."""
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
     rows = valid(vectors)
@@ -180,6 +207,14 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, target: float = TAR
     kind = "grp long, kind int, id long, bucket long, buckets array<long>, v array<double>"
     both = f32.mapInArrow(deal, kind).unionByName(f32.where(F.col("vec_id") % every == 0).mapInArrow(ask, kind))
 
+    def best(parts_):
+        v, s = np.concatenate([p[0] for p in parts_]), np.concatenate([p[1] for p in parts_])
+        order = np.lexsort((v, -s))
+        v, s = v[order], s[order]
+        _, first = np.unique(v, return_index=True)
+        keep = np.sort(first)[:k]
+        return v[keep], s[keep]
+
     def rank(batches):
         held: dict[int, list] = {}
         now, ids, buckets, vecs, ready = None, [], [], [], None
@@ -189,14 +224,6 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, target: float = TAR
             held.clear()
             return pa.record_batch([pa.array([x[j] for x in out], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
 
-        def best(parts_):
-            v, s = np.concatenate([p[0] for p in parts_]), np.concatenate([p[1] for p in parts_])
-            order = np.lexsort((v, -s))
-            v, s = v[order], s[order]
-            _, first = np.unique(v, return_index=True)
-            keep = np.sort(first)[:k]
-            return v[keep], s[keep]
-
         for b in batches:
             grp, kinds = b.column(0).to_numpy(), b.column(1).to_numpy()
             cuts = np.flatnonzero(np.concatenate([[True], (grp[1:] != grp[:-1]) | (kinds[1:] != kinds[:-1])]))
@@ -216,8 +243,10 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, target: float = TAR
                     order = np.argsort(all_ids, kind="stable")
                     start = np.flatnonzero(np.concatenate([[True], np.diff(all_ids[order]) != 0]))
                     names, which = np.unique(all_b[order], return_inverse=True)
-                    ready = (all_ids[order], start, names, which, np.concatenate(vecs)[order])
-                all_ids, start, names, which, all_v = ready
+                    all_v = np.concatenate(vecs)[order]
+                    run = np.cumsum(np.concatenate([[True], (np.diff(all_ids[order]) != 0) | (all_v[1:] != all_v[:-1]).any(axis=1)]))
+                    ready = (all_ids[order], start, names, which, all_v, run)
+                all_ids, start, names, which, all_v, run = ready
                 for at in range(0, part.num_rows, 128):
                     some = part.slice(at, 128)
                     q = matrix(some.column(5))
@@ -229,8 +258,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, target: float = TAR
                             continue
                         rows_ = len(start)
                         if rows_ < len(all_ids):
-                            mine = all_ids[at_]
-                            at_ = at_[np.concatenate([[True], (mine[1:] != mine[:-1]) | (all_v[at_[1:]] != all_v[at_[:-1]]).any(axis=1)])]
+                            at_ = at_[np.concatenate([[True], np.diff(run[at_]) != 0])]
                         s = score[at_, i]
                         if len(at_) > k:
                             edge = np.partition(s, len(s) - k)[len(s) - k]
@@ -246,6 +274,56 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, target: float = TAR
 
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = both.repartition(n_parts, "grp").sortWithinPartitions("grp", "kind").mapInArrow(rank, "query_id long, vec_id long, score double")
-    merged = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def ranked(hits: DataFrame) -> DataFrame:
+        merged = hits.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def reach(batches):  # the most that a point can score which the query has not met
+        for b in batches:
+            v = matrix(b.column(1))
+            far = sent.value.beyond(sent.value.queries(v), visits)
+            most = top * np.linalg.norm(v, axis=1)
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(most * (1 - far * far / 2)), pa.array(1e-9 * most)], names=["vec_id", "v", "reach", "slack"])
+
+    near = _store.written(ranked(found), "ann-near")
+    last = near.groupBy(F.col("query_id").alias("vec_id")).agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least"))
+    least = F.when(F.col("n") >= k, F.col("least")).otherwise(float("-inf"))
+    open_ = f32.where(F.col("vec_id") % every == 0).mapInArrow(reach, "vec_id long, v array<double>, reach double, slack double").join(last, "vec_id", "left").withColumn("least", least)
+    open_ = _store.written(open_.where(F.col("least") <= F.col("reach") + F.col("slack")).select("vec_id", "v", "least", "slack"), "ann-open")
+    chunks, hits = -(-open_.count() // CHUNK), near.select("query_id", "vec_id", "score")
+    for c in range(chunks):
+        asked = open_.where(F.pmod(F.xxhash64("vec_id"), F.lit(chunks)) == c).toPandas()
+        if not len(asked):
+            continue
+        questions = spark.sparkContext.broadcast((asked["vec_id"].to_numpy(), np.array(asked["v"].tolist()), asked["least"].to_numpy(), asked["slack"].to_numpy()))
+
+        def compare(batches, questions=questions):
+            names, q, low, slack = questions.value
+            low, held = low.copy(), {}
+            for b in batches:
+                ids, x = b.column(0).to_numpy(), matrix(b.column(1))
+                for at in range(0, len(names), 128):
+                    s = q[at : at + 128] @ x.T
+                    close = (s >= (low - slack)[at : at + 128, None]) & (names[at : at + 128, None] != ids)
+                    for i in np.flatnonzero(close.any(axis=1)):
+                        at_ = np.flatnonzero(close[i])
+                        if len(at_) > k:  # the best row of each id, then what reaches the k-th of them
+                            at_ = at_[np.lexsort((-s[i, at_], ids[at_]))]
+                            one = s[i, at_[np.concatenate([[True], np.diff(ids[at_]) != 0])]]
+                            if len(one) > k:
+                                edge = np.partition(one, len(one) - k)[len(one) - k]
+                                at_ = at_[s[i, at_] >= edge - slack[at + i]]
+                        j = at + i
+                        mine = best([*held.get(j, ()), (ids[at_], (x[at_] * q[j]).sum(axis=1))])
+                        held[j] = [mine]
+                        if len(mine[0]) == k:
+                            low[j] = max(low[j], mine[1][-1])
+            for j, [(v, s)] in held.items():
+                yield pa.record_batch([pa.array(np.full(len(v), names[j])), pa.array(v), pa.array(s)], names=["query_id", "vec_id", "score"])
+
+        blocks = f32.coalesce(max(1, n // BLOCK))
+        hits = hits.unionByName(_store.written(blocks.mapInArrow(compare, "query_id long, vec_id long, score double"), "ann-compared"))
+        questions.unpersist()
+    return ranked(hits)

@@ -296,6 +296,33 @@ def test_few_neighbours(spark):
     assert [(r["query_id"], r["vec_id"]) for r in ann.search(spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0])], schema)).collect()] == [(0, 1)]
 
 
+def brute_neighbours(v, every, k):
+    out = {}
+    for q in range(0, len(v), every):
+        s = (v * v[q]).sum(axis=1)
+        s[q] = -np.inf
+        order = np.lexsort((np.arange(len(v)), -s))[: min(k, len(v) - 1)]
+        out[q] = [(int(i), s[i]) for i in order]
+    return out
+
+
+@pytest.mark.parametrize("shape", ["15", "21", "cluster", "copies"])
+def test_every_query_has_its_exact_neighbours(spark, shape):
+    """Tables of hardly more rows than k, and a hot cluster or a vector repeated beside isolated ones."""
+    rng = np.random.default_rng(5)
+    v = rng.standard_normal((int(shape) if shape.isdigit() else 6000, 32))
+    if not shape.isdigit():
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        hot = rng.permutation(6000)[:2000]
+        v[hot] = v[0] if shape == "copies" else v[0] + 0.003 * rng.standard_normal((2000, 32))
+    got = {}
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    every = 1 if shape.isdigit() else 20
+    for r in ann.search(df, every=every).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert got == brute_neighbours(v, every, 20)
+
+
 # ---- 6 decontamination -----------------------------------------------------------------------------------------------
 
 
