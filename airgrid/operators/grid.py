@@ -80,8 +80,9 @@ def locate(points: DataFrame, cells: DataFrame, grid: Grid) -> DataFrame:
     near = F.greatest(F.lit(0), F.least(ix, F.lit(nx - 1))) * ny + F.greatest(F.lit(0), F.least(iy, F.lit(ny - 1)))
     held = grid.cell_id(F.col("lon"), F.col("lat"))
     guess = points.withColumns({"x": x, "y": y, "held": held, "near": near})
-    # the clipped last column and row have centres off the raster: compare with the neighbours inward
-    ring = F.array_distinct(F.array(*[F.greatest(F.lit(0), F.floor(F.col("near") / ny) - dx) * ny + F.greatest(F.lit(0), F.pmod("near", F.lit(ny)) - dy) for dx in (0, 1) for dy in (0, 1)]))
+    # the clipped last column and row have centres off the raster: compare with the neighbours on both sides
+    beside = lambda at, by, n: F.greatest(F.lit(0), F.least(at + by, F.lit(n - 1)))
+    ring = F.array_distinct(F.array(*[beside(F.floor(F.col("near") / ny), dx, nx) * ny + beside(F.pmod("near", F.lit(ny)), dy, ny) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]))
     options = guess.withColumn("cell_id", F.explode(F.when(F.col("held").isNotNull(), F.array("held")).otherwise(ring)))
     far = options.join(cells.select("cell_id", "cx", "cy"), "cell_id").withColumn("d", F.hypot(F.col("cx") - F.col("x"), F.col("cy") - F.col("y")))
     best = far.groupBy(*points.columns).agg(F.min(F.struct("d", "cell_id")).alias("b"), F.max("held").alias("held"))

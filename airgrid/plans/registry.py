@@ -430,8 +430,18 @@ SELECT m.c_custkey, CASE WHEN lon BETWEEN {K.WEST} AND {K.EAST} AND lat BETWEEN
 lon BETWEEN {K.WEST} AND {K.EAST} AND lat BETWEEN {K.SOUTH} AND {K.NORTH} AS inside FROM m JOIN best USING (c_custkey)""")
 def nearest_cell(spark, d):
     """Customers up to key 200 stand for endpoints: the brute-force oracle compares each with every cell."""
+    return _located(spark, table(spark, d, "customer").where("c_custkey <= 200"))
+
+
+@query()
+def nearest_cell_all(spark, d):
+    """nearest_cell over all customers; the SQL of nearest_cell binds that one to its first keys."""
+    return _located(spark, table(spark, d, "customer"))
+
+
+def _located(spark, customers):
     k = F.col("c_custkey")
-    p = table(spark, d, "customer").where("c_custkey <= 200").select(k, (F.lit(41.4) + F.lit(0.9) * (k * 7919 % 997).cast("double") / 997.0).alias("lat"), (F.lit(-88.5) + F.lit(1.1) * (k * 104729 % 991).cast("double") / 991.0).alias("lon"))
+    p = customers.select(k, (F.lit(41.4) + F.lit(0.9) * (k * 7919 % 997).cast("double") / 997.0).alias("lat"), (F.lit(-88.5) + F.lit(1.1) * (k * 104729 % 991).cast("double") / 991.0).alias("lon"))
     return grids.locate(p, G.cells(spark), G).select("c_custkey", "cell_id", "inside")
 
 

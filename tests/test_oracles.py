@@ -30,3 +30,12 @@ def test_query_equals_sql(spark, con, name):
     got, want = rows(registry.QUERIES[name](spark, D).toPandas()), rows(con.execute(registry.ORACLE_SQL[name]).df())
     assert got == want
     assert got[1], "no rows compared"
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="driver tables are absent")
+def test_nearest_cell_of_all_customers(spark):
+    d, c = "/root/testdata/sf0.01", duckdb.connect()
+    c.execute(f"CREATE VIEW customer AS SELECT * FROM '{d}/customer.parquet'")
+    got = rows(registry.QUERIES["nearest_cell_all"](spark, d).toPandas())
+    assert got == rows(c.execute(registry.ORACLE_SQL["nearest_cell"].replace(" WHERE c_custkey <= 200", "")).df())
+    assert len(got[1]) == spark.read.parquet(f"{d}/customer.parquet").count()
