@@ -516,12 +516,17 @@ def polylines(spark, d):
 LINES = f"pts AS (SELECT icao24 AS line, row_number() OVER (PARTITION BY icao24 ORDER BY time, event_id) - 1 AS pos, count(*) OVER (PARTITION BY icao24) AS n, {MX} AS x, {MY} AS y FROM obs WHERE event_id % 4 = 0)"
 
 
-def _lines(spark, d):
-    o = observed(spark, d).where("event_id % 4 = 0")
+def _lines(spark, d, whole=False):
+    o = observed(spark, d) if whole else observed(spark, d).where("event_id % 4 = 0")
     w = Window.partitionBy("icao24").orderBy("time", "event_id")
     return o.select(F.col("icao24").alias("line"), (F.row_number().over(w) - 1).cast("long").alias("pos"), geo.mercator_x(F.col("lon")).alias("x"), geo.mercator_y(F.col("lat")).alias("y"))
 
 
+def _whole(name: str) -> str:
+    """The SQL of a query over lines, over every point of them."""
+    return ORACLE_SQL[name].replace(" WHERE event_id % 4 = 0", "")
+
+
 def _spline(c: str) -> str:
     return f"0.5 * (2 * {c}1 + ({c}2 - {c}0) * t + (2 * {c}0 - 5 * {c}1 + 4 * {c}2 - {c}3) * t * t + (3 * {c}1 - {c}0 - 3 * {c}2 + {c}3) * t * t * t)"
 
@@ -533,11 +538,25 @@ def catmull_rom(spark, d):
     return rounded(smoothing.catmull_rom(_lines(spark, d), ["line"]), "x", "y", digits=3)
 
 
+@query(_whole("catmull_rom"))
+def catmull_rom_all(spark, d):
+    return rounded(smoothing.catmull_rom(_lines(spark, d, whole=True), ["line"]), "x", "y", digits=3)
+
+
 @query(f"""WITH {OBS}, {LINES}, w AS (SELECT line, pos, x, y, lag(x) OVER q AS px, lag(y) OVER q AS py, lead(x) OVER q AS nx, lead(y) OVER q AS ny FROM pts WINDOW q AS (PARTITION BY line ORDER BY pos))
 SELECT line, pos, round(1.5 * power(degrees(acos(greatest(-1.0, least(1.0, ((x - px) * (nx - x) + (y - py) * (ny - y)) / (sqrt(power(x - px, 2) + power(y - py, 2)) * sqrt(power(nx - x, 2) + power(ny - y, 2))))))) / 180, 2), 6) AS turn_cost FROM w WHERE px IS NOT NULL AND nx IS NOT NULL""")
 def turn_penalty(spark, d):
+    return _turns(_lines(spark, d))
+
+
+@query(_whole("turn_penalty"))
+def turn_penalty_all(spark, d):
+    return _turns(_lines(spark, d, whole=True))
+
+
+def _turns(lines):
     w = Window.partitionBy("line").orderBy("pos")
-    p = _lines(spark, d).withColumns({f"{c}{k}": F.lag(c, -k).over(w) for c in "xy" for k in (-1, 1)}).where(F.col("x-1").isNotNull() & F.col("x1").isNotNull())
+    p = lines.withColumns({f"{c}{k}": F.lag(c, -k).over(w) for c in "xy" for k in (-1, 1)}).where(F.col("x-1").isNotNull() & F.col("x1").isNotNull())
     cost = graph.turn_penalty(F.col("x-1"), F.col("y-1"), F.col("x"), F.col("y"), F.col("x1"), F.col("y1"))
     return p.select("line", "pos", F.round(cost, 6).alias("turn_cost"))
 
@@ -549,6 +568,11 @@ def line_sampling(spark, d):
     return rounded(smoothing.sample_lines(_lines(spark, d), ["line"], spacing=7500.0).withColumnRenamed("along", "d"), "d", "x", "y", digits=3)
 
 
+@query(_whole("line_sampling"))
+def line_sampling_all(spark, d):
+    return rounded(smoothing.sample_lines(_lines(spark, d, whole=True), ["line"], spacing=7500.0).withColumnRenamed("along", "d"), "d", "x", "y", digits=3)
+
+
 @query(f"WITH {OBS}, {PLACED}, c AS (SELECT event_id, icao24, cell_id // ({NY} * 40) AS zone, lag(cell_id // ({NY} * 40)) OVER (PARTITION BY icao24 ORDER BY time, event_id) AS before FROM placed) SELECT event_id, icao24, zone FROM c WHERE before IS NULL OR before <> zone")
 def consecutive_cells(spark, d):
     o = observed(spark, d)

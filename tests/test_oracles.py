@@ -39,3 +39,11 @@ def test_nearest_cell_of_all_customers(spark):
     got = rows(registry.QUERIES["nearest_cell_all"](spark, d).toPandas())
     assert got == rows(c.execute(registry.ORACLE_SQL["nearest_cell"].replace(" WHERE c_custkey <= 200", "")).df())
     assert len(got[1]) == spark.read.parquet(f"{d}/customer.parquet").count()
+
+
+def test_lines_hold_every_point(spark):
+    n = spark.read.parquet(f"{D}/events.parquet").count()
+    lines = spark.read.parquet(f"{D}/events.parquet").select("user_id").distinct().count()
+    assert "% 4" not in registry.ORACLE_SQL["catmull_rom_all"] + registry.ORACLE_SQL["turn_penalty_all"] + registry.ORACLE_SQL["line_sampling_all"]
+    assert registry._lines(spark, D, whole=True).count() == n
+    assert registry.QUERIES["turn_penalty_all"](spark, D).count() == n - 2 * lines
