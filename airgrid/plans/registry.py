@@ -626,9 +626,19 @@ def viewer_colors(spark, d):
 @query(f"WITH {CELLS} SELECT cell_id, round((3 * xmin + 2 * xmax) / 5, 4) AS x, round((3 * ymin + 2 * ymax) / 5, 4) AS y FROM cells WHERE cell_id % 10 = 0")
 def ring_centres(spark, d):
     """Viewer centres of every tenth cell: the mean of its ring, the closing vertex counted again."""
+    return _centres(G.cells(spark).where("cell_id % 10 = 0"))
+
+
+@query(ORACLE_SQL["ring_centres"].replace(" WHERE cell_id % 10 = 0", ""))
+def ring_centres_all(spark, d):
+    """ring_centres of every cell."""
+    return _centres(G.cells(spark))
+
+
+def _centres(cells):
     p = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
     ring = F.array(p("xmin", "ymin"), p("xmax", "ymin"), p("xmax", "ymax"), p("xmin", "ymax"), p("xmin", "ymin"))
-    c = G.cells(spark).where("cell_id % 10 = 0").withColumn("ring", ring).withColumn("c", reports.ring_centre())
+    c = cells.withColumn("ring", ring).withColumn("c", reports.ring_centre())
     return c.select("cell_id", F.round("c.x", 4).alias("x"), F.round("c.y", 4).alias("y"))
 
 

@@ -47,3 +47,7 @@ def test_lines_hold_every_point(spark):
     assert "% 4" not in registry.ORACLE_SQL["catmull_rom_all"] + registry.ORACLE_SQL["turn_penalty_all"] + registry.ORACLE_SQL["line_sampling_all"]
     assert registry._lines(spark, D, whole=True).count() == n
     assert registry.QUERIES["turn_penalty_all"](spark, D).count() == n - 2 * lines
+
+
+def test_every_cell_has_a_ring_centre(spark):
+    assert registry.QUERIES["ring_centres_all"](spark, D).count() == registry.NX * registry.NY
