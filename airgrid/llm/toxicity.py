@@ -2,7 +2,7 @@
 
 A writer's plain word reaches us through a channel that swaps letters for look-alikes (LEET), puts separators between letters
 and repeats letters. A disguised stretch becomes a character lattice: each look-alike may be itself or a letter, each separator
-may stand or go, each run of one letter may be the run, two or one. Viterbi finds the likeliest path under a character trigram
+may stand or go, between single letters or chunks of a word, each run of one letter may be the run, two or one. Viterbi finds the likeliest path under a character trigram
 model whose counts come from all documents, plus the channel's costs. Stretches without such marks have one path and are left
 as they are, so only marked ones are decoded, each distinct one once per process.
 
@@ -38,6 +38,8 @@ PREFIXES = (4, 5, 6, 7, 8)
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c"}
 SEPARATORS = " .-_*,~/"
 COST_LEET, COST_KEEP, COST_DROP, COST_STAY, COST_RUN, COST_TWO = 1.0, 6.0, 0.5, 3.0, 6.0, 1.0
+#: Rarer acts of the channel: one letter written twice, a separator put between chunks of a word; and marks that end a word anyway.
+COST_DOUBLE, COST_CHUNK, ENDS = 3.0, 1.5, "!|+("
 
 #: Classes of the character model: 0 a break, 1-26 letters, 27 any other letter byte.
 CLASSES = np.zeros(256, dtype=np.int64)
@@ -51,10 +53,15 @@ _LEET = _words.byte_class(lambda b: chr(b) in LEET and b < 128)
 _SEP = _words.byte_class(lambda b: chr(b) in SEPARATORS)
 _WORD = _words.byte_class(lambda b: 97 <= b <= 122 or b >= 128)
 _L = re.escape("".join(LEET)).encode()
-_SPACED = rb"(?<![A-Za-z0-9\x80-\xff])(?:[A-Za-z" + _L + rb"][ .\-_*,~/]{1,2}){3,}[A-Za-z" + _L + rb"](?![A-Za-z0-9\x80-\xff])"
-_MIXED = rb"[A-Za-z" + _L + rb"]*(?:[A-Za-z][" + _L + rb"]+[A-Za-z]|(?<![A-Za-z" + _L + rb"])[" + _L + rb"]+[A-Za-z])[A-Za-z" + _L + rb"]*"
-_REPEAT = rb"[A-Za-z]*([A-Za-z])\1\1[A-Za-z]*"
-_MARKED = re.compile(rb"|".join((_SPACED, _MIXED, _REPEAT)))
+#: A letter, or one character that may stand for it; a word's letters and look-alikes.
+_ALPHA = rb"(?:[A-Za-z]|[\xc2-\xf4][\x80-\xbf]+)"
+_ANY = rb"(?:[A-Za-z" + _L + rb"]|[\xc2-\xf4][\x80-\xbf]+)"
+_EDGE, _END = rb"(?<![A-Za-z0-9\x80-\xff])", rb"(?![A-Za-z0-9\x80-\xff])"
+_SPACED = _EDGE + rb"(?:" + _ANY + rb"[ .\-_*,~/]+){2,}" + _ANY + _END
+#: Words, with separators other than blanks between chunks of them.
+_WORDLIKE = _ANY + rb"++(?:[.\-_*~/]+" + _ANY + rb"++)*+"
+_MARKED = re.compile(rb"(" + _SPACED + rb")|" + _WORDLIKE)
+_DISGUISED = re.compile(_ALPHA + rb"[" + _L + rb"]|[" + _L + rb"]" + _ALPHA + rb"|([A-Za-z])\1|([\xc2-\xf4][\x80-\xbf]+)\2|" + _ANY + rb"[.\-_*~/]+" + _ANY)
 
 
 def count_trigrams(texts: pa.Array) -> np.ndarray:
@@ -102,7 +109,7 @@ class Restorer:
 
     def lattice(self, raw: bytes):
         """Steps of (text, classes, channel cost) choices."""
-        text = raw.decode("ascii").lower()
+        text = raw.decode(errors="surrogateescape").lower()
         spaced = re.fullmatch(_SPACED, raw) is not None
         steps, i = [], 0
         while i < len(text):
@@ -113,10 +120,17 @@ class Restorer:
                 steps.append([(ch, COST_TWO * 0), (ch * 2, COST_TWO), (ch * n, COST_RUN + n)])
                 i += n
                 continue
+            if ch.isalpha() and n == 2:
+                steps.append([(ch * 2, 0.0), (ch, COST_DOUBLE)])
+                i += n
+                continue
             if ch in LEET:
-                steps.append([(x, COST_LEET) for x in LEET[ch]] + [(ch, COST_KEEP)])
+                ends = ch in ENDS and all(c in ENDS for c in text[i:])
+                steps.append([(x, COST_LEET) for x in LEET[ch]] + [(ch, 0.0 if ends else COST_KEEP)])
             elif spaced and ch in SEPARATORS:
                 steps.append([("", COST_DROP), (" ", COST_STAY)])
+            elif ch in SEPARATORS:
+                steps.append([(ch, 0.0), ("", COST_CHUNK)])
             else:
                 steps.append([(ch, 0.0)])
             i += 1
@@ -131,8 +145,8 @@ class Restorer:
             for (a, b), (cost, path) in states.items():
                 for text, extra in choices:
                     x, y, c = a, b, cost + extra
-                    for ch in text:
-                        z = int(CLASSES[ord(ch)])
+                    for ch in text.encode(errors="surrogateescape"):
+                        z = int(CLASSES[ch])
                         c += self.cost[x, y, z]
                         x, y = y, z
                     if (x, y) not in after or c < after[x, y][0]:
@@ -143,14 +157,14 @@ class Restorer:
         while path is not None:
             path, text = path
             parts.append(text)
-        out = "".join(reversed(parts)).encode()
+        out = "".join(reversed(parts)).encode(errors="surrogateescape")
         if len(self.known) >= 200_000:
             self.known.clear()
         self.known[raw] = out
         return out
 
     def restore(self, raw: bytes) -> bytes:
-        return _MARKED.sub(lambda m: self.decode(m[0]), raw)
+        return _MARKED.sub(lambda m: self.decode(m[0]) if m[1] is not None or _DISGUISED.search(m[0]) else m[0], raw)
 
     def batch(self, texts: pa.Array) -> pa.Array:
         """The texts, lower-cased, with marked stretches restored."""
@@ -180,15 +194,16 @@ def marked(data: np.ndarray) -> np.ndarray:
     out = []
     for at in range(0, len(data), _words.PIECE):
         d = data[at : at + _words.PIECE + 8]
-        if len(d) < 3:
+        if len(d) < 2:
             continue
-        letter, leet, sep = _LETTER[d], _LEET[d], _SEP[d]
-        three = letter[:-2] & (d[:-2] == d[1:-1]) & (d[1:-1] == d[2:])
-        mixed = leet[:-1] & letter[1:]
-        hits = [np.flatnonzero(three), np.flatnonzero(mixed)]
-        alone = np.flatnonzero((letter | leet)[1:-1] & sep[:-2] & sep[2:]) + 1
-        if len(alone) > 1:
-            hits.append(alone[:-1][np.diff(alone) <= 3])
+        d = np.concatenate([d, np.full(6, 10, d.dtype)])
+        letter, leet, sep = _LETTER[d] | (d >= 128), _LEET[d], _SEP[d]
+        any_, joint = letter | leet, sep & (d != 32) & (d != 44)
+        hits = [letter[:-1] & (d[:-1] == d[1:]), (leet[:-1] & letter[1:]) | (letter[:-1] & leet[1:]), any_[:-2] & joint[1:-1] & (any_ | joint)[2:]]
+        hits.append(any_[1:-1] & sep[:-2] & sep[2:])  # a middle letter of a spaced run
+        for w in (2, 3, 4):  # the same of letters of w bytes: doubled, or a middle one
+            hits += [(d[:-w] >= 192) & (d[:-w] == d[w:]), (d[1:-w] >= 192) & sep[: -w - 1] & sep[w + 1 :]]
+        hits = [np.flatnonzero(x) for x in hits]
         out.append(np.concatenate(hits).astype(np.int64) + at)
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
 

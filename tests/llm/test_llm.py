@@ -64,6 +64,16 @@ def test_restores_disguises():
     assert r.batch(pa.array(["The anther, 1d10t!\nthe end", None, "plain text"])).to_pylist() == ["the anther, idiot!\nthe end", "", "plain text"]
 
 
+def test_restores_every_kind_of_disguise():
+    plain = "stupid trash idiot scum ass worthless the end of a letter dämlich blödmann débile. "
+    r = toxicity.Restorer(toxicity.count_trigrams(pa.array([plain * 300])))
+    cases = {"idio7": "idiot", "stuupid": "stupid", "trrash": "trash", "a s s": "ass", "s   c   u   m": "scum", "s - - c - - u - - m": "scum", "st-upid": "stupid", "d ä m l i c h": "dämlich", "bl0dmänn": "blodmänn", "déb1le": "débile"}
+    for raw, want in cases.items():
+        assert r.batch(pa.array([f"the {raw} of"])).to_pylist() == [f"the {want} of"], raw
+    for same in ("the letter", "the end!", "dämlich"):
+        assert r.batch(pa.array([same])).to_pylist() == [same]
+
+
 def test_trigrams_cover_piece_ends(monkeypatch):
     text = "abc def " * 40
     whole = toxicity.count_trigrams(pa.array([text]))
