@@ -140,12 +140,12 @@ def _hit(sent: np.ndarray, x: np.ndarray, bits: int = MAP_BITS) -> np.ndarray:
 # ---- passes over the texts -------------------------------------------------------------------------------------------
 
 
-def _pass(docs: DataFrame, each, schema: str) -> DataFrame:
+def _pass(docs: DataFrame, each, schema: str, size: int) -> DataFrame:
     """each(texts, n, hashes, owners, ids) gives the columns of a batch."""
 
     def run(batches):
         for b in _words.small_batches(batches, "text", 2 << 20):
-            n, g, w = shingle_sets(b.column(1))
+            n, g, w = shingle_sets(b.column(1), size)
             out = each(b, n, g, w)
             if out is not None:
                 yield out
@@ -153,7 +153,7 @@ def _pass(docs: DataFrame, each, schema: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
-def measure(docs: DataFrame, numerator: int = NUMERATOR, seed: int = 0) -> DataFrame:
+def measure(docs: DataFrame, numerator: int = NUMERATOR, seed: int = 0, size: int = SIZE) -> DataFrame:
     """doc_id, node, chk, n, prefix."""
 
     def each(b, n, g, w):
@@ -161,10 +161,10 @@ def measure(docs: DataFrame, numerator: int = NUMERATOR, seed: int = 0) -> DataF
         pre = prefixes(n, g, w, None, numerator)
         return pa.record_batch([b.column(0), pa.array(node), pa.array(chk), pa.array(n.astype(np.int32)), _lists(g[pre], w[pre], b.num_rows)], names=["doc_id", "node", "chk", "n", "prefix"])
 
-    return _pass(docs, each, "doc_id long, node long, chk long, n int, prefix array<long>")
+    return _pass(docs, each, "doc_id long, node long, chk long, n int, prefix array<long>", size)
 
 
-def shared_prefixes(docs: DataFrame, shared: np.ndarray, common: np.ndarray, numerator: int, seed: int) -> DataFrame:
+def shared_prefixes(docs: DataFrame, shared: np.ndarray, common: np.ndarray, numerator: int, seed: int, size: int = SIZE) -> DataFrame:
     """token, node, n, fresh: prefixes with common shingles last, without the shingles known to stand alone among prefixes in plain
     hash order; fresh: not in that one."""
     spark = docs.sparkSession
@@ -177,7 +177,7 @@ def shared_prefixes(docs: DataFrame, shared: np.ndarray, common: np.ndarray, num
         ok = np.flatnonzero(new & (~old | _hit(s.value, g)))
         return pa.record_batch([pa.array(g[ok].view(np.int64)), pa.array(node[w[ok]]), pa.array(n[w[ok]].astype(np.int32)), pa.array(~old[ok])], names=["token", "node", "n", "fresh"])
 
-    return _pass(docs, each, "token long, node long, n int, fresh boolean")
+    return _pass(docs, each, "token long, node long, n int, fresh boolean", size)
 
 
 def met_by_fresh(found: DataFrame, fresh: np.ndarray) -> DataFrame:
@@ -196,7 +196,7 @@ def met_by_fresh(found: DataFrame, fresh: np.ndarray) -> DataFrame:
     return found.select("node", "n", "prefix").mapInArrow(run, "token long, node long, n int")
 
 
-def sets_of(docs: DataFrame, nodes: np.ndarray, seed: int) -> DataFrame:
+def sets_of(docs: DataFrame, nodes: np.ndarray, seed: int, size: int = SIZE) -> DataFrame:
     """node, frag, tokens: the sets of (a superset of) the nodes, one row per fragment that is not empty."""
     sent = docs.sparkSession.sparkContext.broadcast(nodes)
 
@@ -212,7 +212,7 @@ def sets_of(docs: DataFrame, nodes: np.ndarray, seed: int) -> DataFrame:
         rank = np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]).astype(np.int64)]))
         return pa.record_batch([pa.array(node[w[first]]), pa.array(frag[first].astype(np.int32)), _lists(g, rank, len(first))], names=["node", "frag", "tokens"])
 
-    return _pass(docs, each, "node long, frag int, tokens array<long>").dropDuplicates(["node", "frag"])
+    return _pass(docs, each, "node long, frag int, tokens array<long>", size).dropDuplicates(["node", "frag"])
 
 
 def held(sets: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -369,10 +369,10 @@ def links_in_blocks(apart: DataFrame, sets: DataFrame, numerator: int) -> DataFr
     return dealt.join(whole, "node").groupBy("family", "i", "j").applyInArrow(compare, "a long, b long")
 
 
-def _link(docs: DataFrame, numerator: int) -> tuple[DataFrame, DataFrame, int]:
+def _link(docs: DataFrame, numerator: int, size: int = SIZE) -> tuple[DataFrame, DataFrame, int]:
     """(doc_id, node and n of every document; node and comp of every linked node; the seed of the nodes)."""
     for seed in range(8):
-        found = _store.written(measure(docs, numerator, seed), "jaccard-sets")
+        found = _store.written(measure(docs, numerator, seed, size), "jaccard-sets")
         clash = found.groupBy("node").agg((F.min("chk") != F.max("chk")).alias("x")).where("x").limit(1).count()
         if not clash:
             break
@@ -381,11 +381,11 @@ def _link(docs: DataFrame, numerator: int) -> tuple[DataFrame, DataFrame, int]:
     met = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("token", "m")
     met = _store.written(met, "jaccard-met")
     shared, common = bitmap(met, "token"), bitmap(met.where(F.col("m") > COMMON), "token")
-    members = _store.written(shared_prefixes(docs, shared, common, numerator, seed), "jaccard-prefixes")
+    members = _store.written(shared_prefixes(docs, shared, common, numerator, seed, size), "jaccard-prefixes")
     more = met_by_fresh(found, bitmap(members.where("fresh"), "token"))
     members = _store.written(members.drop("fresh").unionByName(more).groupBy("token", "node").agg(F.max("n").alias("n")), "jaccard-tokens")
-    size = members.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    members = _store.written(members.join(size, "token"), "jaccard-buckets")
+    met = members.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    members = _store.written(members.join(met, "token"), "jaccard-buckets")
     big = members.where(F.col("m") > SMALL).drop("m")
     carried = big.groupBy("node").agg(F.count(F.lit(1)).alias("big"))
     few = members.where(F.col("m") <= SMALL).join(carried, "node", "left").withColumn("big", F.coalesce("big", F.lit(0).cast("long")))
@@ -394,7 +394,7 @@ def _link(docs: DataFrame, numerator: int) -> tuple[DataFrame, DataFrame, int]:
     least = F.least(hits(F.floor(F.col("n") * numerator / 100)), F.ceil(F.col("n") * numerator / 100))
     big = _store.written(big.join(carried.where("big > 0"), "node").where(F.col("big") >= least).drop("big"), "jaccard-big")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).unionByName(big.select("node"))
-    sets = _store.written(sets_of(docs, bitmap(wanted, "node"), seed), "jaccard-fragments")
+    sets = _store.written(sets_of(docs, bitmap(wanted, "node"), seed, size), "jaccard-fragments")
     links = _store.written(links_among(pairs, sets, numerator), "jaccard-links")
     labels = _store.written(components(links), "jaccard-labels")
     tested = None
@@ -423,22 +423,22 @@ def _link(docs: DataFrame, numerator: int) -> tuple[DataFrame, DataFrame, int]:
     return rows, labels, seed
 
 
-def with_node(docs: DataFrame, seed: int, numerator: int) -> DataFrame:
+def with_node(docs: DataFrame, seed: int, numerator: int, size: int = SIZE) -> DataFrame:
     """docs with the node of each text, in one pass that moves nothing."""
     rest = docs.drop("_node").withColumn("text", F.col("text").cast("string"))
     names = rest.columns
 
     def run(batches):
         for b in _words.small_batches(batches, "text", 2 << 20):
-            n, g, w = shingle_sets(b.column(names.index("text")))
+            n, g, w = shingle_sets(b.column(names.index("text")), size)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(signatures(g, w, b.num_rows, seed)[0])], names=[*b.schema.names, "_node"])
 
     return rest.mapInArrow(run, rest.withColumn("_node", F.lit(0).cast("long")).schema)
 
 
-def representatives(docs: DataFrame, numerator: int = NUMERATOR) -> DataFrame:
+def representatives(docs: DataFrame, numerator: int = NUMERATOR, size: int = SIZE) -> DataFrame:
     """docs with one row of each component, that whose doc_id names it; rows with the empty set all stay."""
-    rows, labels, seed = _link(docs, numerator)
+    rows, labels, seed = _link(docs, numerator, size)
     named = _store.written(_named(rows, labels), "jaccard-classes").where("n > 0")
     stay = F.col("doc_id").eqNullSafe(F.col("component_id"))
     gone = named.where(~stay).select("doc_id", "node")
@@ -446,7 +446,7 @@ def representatives(docs: DataFrame, numerator: int = NUMERATOR) -> DataFrame:
     many = twice.withColumn("one", F.min("node").over(Window.partitionBy("comp"))).where((F.col("k") > 1) | (F.col("node") != F.col("one"))) if twice.groupBy("comp").agg(F.sum("k").alias("k")).where("k > 1").limit(1).count() else None
     gone = _store.written(gone.distinct().select(F.col("doc_id").alias("_id"), F.col("node").alias("_gone")), "jaccard-gone")
     small = gone.limit(200_001).count() <= 200_000
-    noded = with_node(docs, seed, numerator)
+    noded = with_node(docs, seed, numerator, size)
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_node") == F.col("_gone"))
     kept = noded.join(F.broadcast(gone) if small else gone, same, "left_anti")
     if many is not None:  # rows repeated under one doc_id: one of them

@@ -28,8 +28,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones: that which names the group."""
-    return jaccard.representatives(docs)
+    """One document of each group of linked ones, that which names the group; linked: runs of five words, 0.8 alike or more."""
+    return jaccard.representatives(docs, numerator=80, size=5)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,6 +36,20 @@ def test_stages(spark, tmp_path):
     assert len(five) == four.count() and all(len(r["token_ids"]) == 4 * r["n_tokens"] for r in five)
 
 
+def test_near_duplicates_by_five_words(spark, tmp_path):
+    """Two copies with five and six words changed far apart: 0.80 or more alike by runs of five words only for the first."""
+    def changed(tag, n, words=234):
+        text = [f"{tag}{i}" for i in range(words)]
+        return " ".join(text), " ".join(f"x{i}" if i % 40 == 20 and i // 40 < n else w for i, w in enumerate(text))
+
+    texts = [*changed("a", 5), *changed("b", 6)]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(230)} for t in texts]
+    alike = [len(sets[k] & sets[k + 1]) / len(sets[k] | sets[k + 1]) for k in (0, 2)]
+    assert alike[0] >= 0.8 > alike[1]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()) == [0, 2, 3]
+
+
 @pytest.mark.skipif(not os.path.isdir(D), reason="driver tables are absent")
 def test_run(spark):
     out = corpus_pipeline.run(spark, D)
