@@ -10,8 +10,11 @@ import uuid
 
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
+#: The largest side that is broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,6 +40,19 @@ def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(as_uri(path).replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else as_uri(path))
 
 
+def inner(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """df with the inner names c0, c1, ..., which none of ours equals, and its own names, to be given back by toDF."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))]), df.columns
+
+
+def place(names: list[str], want: str) -> str:
+    """The inner name of a column: the one so written, else the only one so written but for case."""
+    same = [k for k, c in enumerate(names) if c == want] or [k for k, c in enumerate(names) if c.lower() == want]
+    if len(same) != 1:
+        raise ValueError(f"one column {want} is needed, there are {len(same)}")
+    return f"c{same[0]}"
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """df as a table in the shared folder: computed once, its lineage cut, whole if executors are lost."""
     path = fresh(df.sparkSession, what)
@@ -45,9 +61,45 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
-def bounded_join(left: DataFrame, right: DataFrame, on, how: str = "inner", max_rows: int = 200_000) -> DataFrame:
-    """left joined with a stored, narrow right side: broadcast while it has max_rows at most, else by shuffles on the key."""
-    from pyspark.sql import functions as F
+class Scratch:
+    """The tables and broadcasts of one call: broadcasts are destroyed as soon as the table that needs them is written, tables when
+    they are dropped."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.sent, self.tables = spark, [], []
+
+    def send(self, value):
+        self.sent.append(self.spark.sparkContext.broadcast(value))
+        return self.sent[-1]
+
+    def written(self, df: DataFrame, what: str) -> DataFrame:
+        """df as a table; what has been sent so far is for it or tables before it."""
+        path, schema = fresh(self.spark, what), df.schema
+        df.write.parquet(path)
+        while self.sent:
+            self.sent.pop().destroy()
+        table = self.spark.read.schema(schema).parquet(path)
+        self.tables.append((table, path))
+        return table
+
+    def drop(self, *tables: DataFrame | None) -> None:
+        """Deletes tables of this call that nothing reads any more; others are left alone."""
+        for table, path in [x for x in self.tables if any(x[0] is t for t in tables)]:
+            self.tables = [x for x in self.tables if x[0] is not table]
+            delete(self.spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def size_of(table: DataFrame) -> int:
+    """Bytes of a stored table's rows as Spark estimates them from its files, for which a factor of 8 allows: they are compressed."""
+    return 8 * int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
 
-    small = right.limit(max_rows + 1).count() <= max_rows
+def bounded_join(left: DataFrame, right: DataFrame, on, how: str = "inner", max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """left joined with a stored right side: broadcast while it has max_rows rows and max_bytes bytes at most, else by shuffles on the key."""
+    small = size_of(right) <= max_bytes and right.limit(max_rows + 1).count() <= max_rows
     return left.join(F.broadcast(right) if small else right, on, how)

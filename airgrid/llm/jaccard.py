@@ -8,7 +8,7 @@ others drops most pairs, the rest are joined fragment by fragment for those left
 
 Texts are read three times and never move: for set sizes, signatures and prefixes; again for the shingles that prefixes share,
 once it is known which are common and which stand alone; and for the sets of candidates. What the passes need of each other are
-bitmaps of bounded size, in which a false hit costs time and changes nothing.
+bitmaps sized by counts up to a bound, in which a false hit costs time and changes nothing.
 
 No group is expanded into its pairs. Equal sets are one node. A shingle shared by up to SMALL nodes gives its pairs. One shared
 by more gives centres, and each member a pair with a few of them, in rounds, as long as members lie in different components; what is
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,7 +36,10 @@ FRAGMENTS = 8
 SMALL, COMMON = 32, 32
 ROUNDS, CENTRES = 3, 3
 BLOCK = 512
-MAP_BITS = 1 << 24
+#: Bits of a bitmap for each value, and at most (16 MB).
+BITS, MAP_BITS = 8, 1 << 27
+#: Links that one task resolves; more are resolved by joins.
+EDGES = 1 << 21
 
 
 # ---- sets ------------------------------------------------------------------------------------------------------------
@@ -111,17 +115,26 @@ def _lists(values: np.ndarray, owner: np.ndarray, n: int) -> pa.Array:
 # ---- bitmaps ---------------------------------------------------------------------------------------------------------
 
 
-def _bit(x: np.ndarray, bits: int) -> np.ndarray:
-    return (_words.mix(x.view(np.uint64)) & np.uint64(bits - 1)).astype(np.int64)
+class Bitmap:
+    """A bit per value, so that few others pass: a filter ahead of joins that are exact without it."""
 
+    def __init__(self, words: np.ndarray):
+        self.words, self.mask = words, np.uint64(64 * len(words) - 1)
 
-def bitmap(df: DataFrame, column: str, bits: int = MAP_BITS) -> np.ndarray:
-    """A bit per value of the column, as booleans. Tasks make bytes; at most bits/8 of them reach the driver."""
+    def holds(self, x: np.ndarray) -> np.ndarray:
+        at = (_words.mix(x.view(np.uint64)) & self.mask).astype(np.int64)
+        return (self.words.view(np.uint64)[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+
+
+def bitmap(df: DataFrame, column: str) -> Bitmap:
+    """Of the values of a stored column: BITS bits for each row, a power of two of at most MAP_BITS, so one value in BITS passes that
+    is not there, more only beyond MAP_BITS / BITS values. Tasks make words; at most MAP_BITS / 64 reach the driver."""
+    bits = min(MAP_BITS, 1 << max(12, int(BITS * df.count() - 1).bit_length()))
 
     def run(batches):
         seen = np.zeros(bits, dtype=bool)
         for b in batches:
-            seen[_bit(b.column(0).to_numpy(zero_copy_only=False), bits)] = True
+            seen[(_words.mix(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)) & np.uint64(bits - 1)).astype(np.int64)] = True
         packed = np.packbits(seen, bitorder="little").view(np.int64)
         at = np.flatnonzero(packed)
         yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(packed[at])], names=["at", "word"])
@@ -129,12 +142,7 @@ def bitmap(df: DataFrame, column: str, bits: int = MAP_BITS) -> np.ndarray:
     rows = df.select(F.col(column).cast("long")).mapInArrow(run, "at int, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
     out = np.zeros(bits // 64, dtype=np.int64)
     out[rows.column("at").to_numpy()] = rows.column("word").to_numpy()
-    return out
-
-
-def _hit(sent: np.ndarray, x: np.ndarray, bits: int = MAP_BITS) -> np.ndarray:
-    at = _bit(x, bits)
-    return (sent.view(np.uint64)[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+    return Bitmap(out)
 
 
 # ---- passes over the texts -------------------------------------------------------------------------------------------
@@ -164,45 +172,41 @@ def measure(docs: DataFrame, numerator: int = NUMERATOR, seed: int = 0, size: in
     return _pass(docs, each, "doc_id long, node long, chk long, n int, prefix array<long>", size)
 
 
-def shared_prefixes(docs: DataFrame, shared: np.ndarray, common: np.ndarray, numerator: int, seed: int, size: int = SIZE) -> DataFrame:
+def shared_prefixes(docs: DataFrame, shared: Broadcast, common: Broadcast, numerator: int, seed: int, size: int = SIZE) -> DataFrame:
     """token, node, n, fresh: prefixes with common shingles last, without the shingles known to stand alone among prefixes in plain
     hash order; fresh: not in that one."""
-    spark = docs.sparkSession
-    s, c = spark.sparkContext.broadcast(shared), spark.sparkContext.broadcast(common)
 
     def each(b, n, g, w):
         node, _ = signatures(g, w, b.num_rows, seed)
-        old, flag = prefixes(n, g, w, None, numerator), _hit(c.value, g)
+        old, flag = prefixes(n, g, w, None, numerator), common.value.holds(g)
         new = prefixes(n, g, w, flag, numerator)
-        ok = np.flatnonzero(new & (~old | _hit(s.value, g)))
+        ok = np.flatnonzero(new & (~old | shared.value.holds(g)))
         return pa.record_batch([pa.array(g[ok].view(np.int64)), pa.array(node[w[ok]]), pa.array(n[w[ok]].astype(np.int32)), pa.array(~old[ok])], names=["token", "node", "n", "fresh"])
 
     return _pass(docs, each, "token long, node long, n int, fresh boolean", size)
 
 
-def met_by_fresh(found: DataFrame, fresh: np.ndarray) -> DataFrame:
+def met_by_fresh(found: DataFrame, fresh: Broadcast) -> DataFrame:
     """token, node, n: shingles of the stored plain prefixes that may stand in another set's prefix only since common ones went
     last."""
-    sent = found.sparkSession.sparkContext.broadcast(fresh)
 
     def run(batches):
         for b in batches:
             lists = b.column(2)
             values = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
             owner = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
-            ok = np.flatnonzero(_hit(sent.value, values))
+            ok = np.flatnonzero(fresh.value.holds(values))
             yield pa.record_batch([pa.array(values[ok].view(np.int64)), b.column(0).take(pa.array(owner[ok])), b.column(1).take(pa.array(owner[ok]))], names=["token", "node", "n"])
 
     return found.select("node", "n", "prefix").mapInArrow(run, "token long, node long, n int")
 
 
-def sets_of(docs: DataFrame, nodes: np.ndarray, seed: int, size: int = SIZE) -> DataFrame:
+def sets_of(docs: DataFrame, nodes: Broadcast, seed: int, size: int = SIZE) -> DataFrame:
     """node, frag, tokens: the sets of (a superset of) the nodes, one row per fragment that is not empty."""
-    sent = docs.sparkSession.sparkContext.broadcast(nodes)
 
     def each(b, n, g, w):
         node, _ = signatures(g, w, b.num_rows, seed)
-        ok = _hit(sent.value, node)[w]
+        ok = nodes.value.holds(node)[w]
         g, w = g[ok], w[ok]
         if not len(g):
             return None
@@ -215,13 +219,12 @@ def sets_of(docs: DataFrame, nodes: np.ndarray, seed: int, size: int = SIZE) ->
     return _pass(docs, each, "node long, frag int, tokens array<long>", size).dropDuplicates(["node", "frag"])
 
 
-def held(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+def held(sets: DataFrame, nodes: Broadcast) -> DataFrame:
     """The rows of sets of (a superset of) the nodes, so that a join with few nodes does not move all sets."""
-    sent = sets.sparkSession.sparkContext.broadcast(bitmap(nodes, "node"))
 
     def run(batches):
         for b in batches:
-            yield b.filter(pa.array(_hit(sent.value, b.column(0).to_numpy())))
+            yield b.filter(pa.array(nodes.value.holds(b.column(0).to_numpy())))
 
     return sets.select("node", "frag", "tokens").mapInArrow(run, "node long, frag int, tokens array<long>")
 
@@ -245,23 +248,25 @@ def pairs_of_small(members: DataFrame, numerator: int) -> DataFrame:
     return met.where(enough).drop("c")
 
 
-def links_among(pairs: DataFrame, sets: DataFrame, numerator: int) -> DataFrame:
-    """The pairs that link: overlaps counted fragment by fragment, then summed per pair."""
+def links_among(pairs: DataFrame, sets: DataFrame, numerator: int, own: _store.Scratch) -> DataFrame:
+    """The stored pairs that link, stored: overlaps counted fragment by fragment, then summed per pair."""
     exact = lambda o: (100 + numerator) * o >= numerator * (F.col("na").cast("long") + F.col("nb"))
     side = lambda s, name: s.select(F.col("node").alias(name), F.col("tokens").alias(f"t{name}"), F.col("frag").alias(f"f{name}"))
     ends = lambda p: p.select(F.col("a").alias("node")).union(p.select("b"))
-    low = held(sets.where("frag = 0"), ends(pairs))
+    low = held(sets.where("frag = 0"), own.send(bitmap(ends(pairs), "node")))
     empty = F.array().cast("array<bigint>")
     first = pairs.join(side(low, "a").drop("fa"), "a", "left").join(side(low, "b").drop("fb"), "b", "left")
     ta, tb = F.coalesce("ta", empty), F.coalesce("tb", empty)
     first = first.withColumns({"o": F.size(F.array_intersect(ta, tb)), "rest": F.least(F.col("na") - F.size(ta), F.col("nb") - F.size(tb))})
-    left = _store.written(first.where(exact(F.col("o") + F.col("rest"))).select("a", "na", "b", "nb", "o"), "jaccard-left")
+    left = own.written(first.where(exact(F.col("o") + F.col("rest"))).select("a", "na", "b", "nb", "o"), "jaccard-left")
     cut = left.select("a", "b", F.explode(F.sequence(F.lit(1), F.lit(FRAGMENTS - 1))).alias("frag"))
-    high = held(sets.where("frag > 0"), ends(left))
+    high = held(sets.where("frag > 0"), own.send(bitmap(ends(left), "node")))
     cut = cut.join(side(high, "a").withColumnRenamed("fa", "frag"), ["a", "frag"]).join(side(high, "b").withColumnRenamed("fb", "frag"), ["b", "frag"])
     parts = cut.select("a", "b", F.size(F.array_intersect("ta", "tb")).alias("o"))
     total = left.select("a", "b", "o").unionByName(parts).groupBy("a", "b").agg(F.sum("o").alias("overlap"))
-    return left.drop("o").join(total, ["a", "b"]).where(exact(F.col("overlap"))).select("a", "b")
+    out = own.written(left.drop("o").join(total, ["a", "b"]).where(exact(F.col("overlap"))).select("a", "b"), "jaccard-links")
+    own.drop(left)
+    return out
 
 
 class Forest:
@@ -284,28 +289,60 @@ class Forest:
         return True
 
 
-def components(links: DataFrame) -> DataFrame:
-    """node, comp: the smallest node of its component, for all nodes in links. Tasks first shrink what they hold to stars; then
-    large-star and small-star steps in turn, as aggregates and joins, until nothing changes."""
+def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, smallest node of its component) of every node of the links."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    label = np.arange(len(nodes))
+    while len(a):
+        x, y = label[a], label[b]
+        open_ = x != y
+        a, b, x, y = a[open_], b[open_], x[open_], y[open_]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))  # roots go under smaller roots
+        while not np.array_equal(label, label[label]):
+            label = label[label]
+    return nodes, nodes[label]
+
+
+def _shrunk(batches, limit: int):
+    """Links as stars, limit of them at a time at least."""
+    u, v, n = [], [], 0
+
+    def emit():
+        x, root = stars(np.concatenate(u), np.concatenate(v))
+        some = np.flatnonzero(x != root)
+        return pa.record_batch([pa.array(x[some]), pa.array(root[some])], names=["u", "v"])
+
+    for b in batches:
+        u.append(b.column(0).to_numpy())
+        v.append(b.column(1).to_numpy())
+        n += b.num_rows
+        if n >= limit:
+            yield emit()
+            u, v, n = [], [], 0
+    if u:
+        yield emit()
+
+
+def components(links: DataFrame, own: _store.Scratch) -> DataFrame:
+    """node, comp: the smallest node of its component, for all nodes in links, stored. Tasks first shrink what they hold to stars. Up to
+    EDGES links that are left are resolved by one task, more by large-star and small-star steps in turn, as aggregates and joins,
+    until nothing changes."""
+    edges = own.written(links.select("a", "b").mapInArrow(lambda batches: _shrunk(batches, 500_000), "u long, v long"), "links-0")
+    if edges.count() <= EDGES:
+        flat = edges.coalesce(1).mapInArrow(lambda batches: _shrunk(batches, EDGES + 1), "u long, v long")
+        out = own.written(flat, "links")
+        own.drop(edges)
+        edges = out
+    else:
+        edges = _settled(edges, own)
+    roots = edges.select(F.col("v").alias("node")).distinct()
+    out = own.written(edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(roots.withColumn("comp", F.col("node"))), "jaccard-labels")
+    own.drop(edges)
+    return out
+
 
-    def shrink(batches):
-        forest = Forest()
-        for b in batches:
-            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                forest.up.setdefault(x, x)
-                forest.up.setdefault(y, y)
-                forest.join(x, y)
-            if len(forest.up) > 500_000:
-                yield _stars(forest)
-                forest = Forest()
-        yield _stars(forest)
-
-    def _stars(forest):
-        rows = [(x, forest.root(x)) for x in list(forest.up)]
-        rows = [(x, r) for x, r in rows if x != r]
-        return pa.record_batch([pa.array([x for x, _ in rows], pa.int64()), pa.array([r for _, r in rows], pa.int64())], names=["u", "v"])
-
-    edges = _store.written(links.select("a", "b").mapInArrow(shrink, "u long, v long").distinct(), "links-0")
+def _settled(edges: DataFrame, own: _store.Scratch) -> DataFrame:
     before = None
     for _ in range(60):
         # every node's neighbours v > u go to the smallest of u and all its neighbours
@@ -315,34 +352,36 @@ def components(links: DataFrame) -> DataFrame:
         # every node and its smaller neighbours go to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
-        edges = _store.written(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        after = own.written(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        own.drop(edges)
+        edges = after
         now = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if now == before:
             break
         before = now
-    roots = edges.select(F.col("v").alias("node")).distinct()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(roots.withColumn("comp", F.col("node")))
+    return edges
 
 
-def _apart(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Members of shingles whose members lie in more than one component, with comp."""
-    known = members.withColumn("comp", F.col("node")) if labels is None else members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    known = _store.written(known, "jaccard-members")
+def _apart(members: DataFrame, labels: DataFrame | None, own: _store.Scratch) -> DataFrame:
+    """Members of shingles whose members lie in more than one component, with comp, stored."""
+    known = members.withColumn("comp", F.col("node")) if labels is None else _store.bounded_join(members, labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     open_ = known.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-    return _store.written(known.join(open_, "token"), "jaccard-apart")
+    return own.written(known.join(open_, "token"), "jaccard-apart")
 
 
-def links_in_blocks(apart: DataFrame, sets: DataFrame, numerator: int) -> DataFrame:
-    """Links between components that meet in a shingle, by exact comparison of blocks."""
+def links_in_blocks(apart: DataFrame, sets: DataFrame, numerator: int, own: _store.Scratch) -> DataFrame:
+    """Links between components that meet in a shingle, stored, by exact comparison of blocks. Only nodes of one family of shingles and
+    of one or two neighbouring bands of size meet: sets of sizes further apart cannot link."""
     hub = apart.groupBy("token").agg(F.min("node").alias("hub"))
-    ties = apart.join(hub, "token").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    family = components(ties.where("a <> b")).withColumnRenamed("comp", "family")
-    nodes = apart.select("node", "n", "comp").distinct().join(family, "node")
-    many = nodes.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    placed = nodes.join(many, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    ties = apart.join(hub, "token").select(F.col("node").alias("a"), F.col("hub").alias("b")).where("a <> b").distinct()
+    family = components(ties, own).withColumnRenamed("comp", "family")
+    band = F.floor(F.log(F.col("n").cast("double")) * (0.999 / np.log(100 / numerator) if numerator < 100 else 1e6)).cast("long")
+    nodes = apart.select("node", "n", "comp").distinct().join(family, "node").withColumn("band", F.explode(F.array(band, band - 1)))
+    many = nodes.groupBy("family", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").drop("lo", "hi")
+    placed = nodes.join(many, ["family", "band"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = placed.select("node", "n", "comp", "family", "block", other).select("node", "n", "comp", "family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    whole = held(sets, apart).groupBy("node").agg(F.flatten(F.collect_list("tokens")).alias("tokens"))
+    dealt = placed.select("node", "n", "comp", "family", "band", "block", other).select("node", "n", "comp", "family", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    whole = held(sets, own.send(bitmap(apart, "node"))).groupBy("node").agg(F.flatten(F.collect_list("tokens")).alias("tokens"))
 
     def compare(table: pa.Table) -> pa.Table:
         node, comp = table["node"].to_numpy(), table["comp"].to_pylist()
@@ -366,41 +405,51 @@ def links_in_blocks(apart: DataFrame, sets: DataFrame, numerator: int) -> DataFr
                     out.append((int(node[k]), int(node[x])))
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
-    return dealt.join(whole, "node").groupBy("family", "i", "j").applyInArrow(compare, "a long, b long")
+    out = own.written(dealt.join(whole, "node").groupBy("family", "band", "i", "j").applyInArrow(compare, "a long, b long"), "jaccard-links")
+    own.drop(family)
+    return out
 
 
 def _link(docs: DataFrame, numerator: int, size: int = SIZE) -> tuple[DataFrame, DataFrame, int]:
-    """(doc_id, node and n of every document; node and comp of every linked node; the seed of the nodes)."""
+    """(doc_id, node and n of every document; node and comp of every linked node; the seed of the nodes), stored."""
+    own = _store.Scratch(docs.sparkSession)
     for seed in range(8):
-        found = _store.written(measure(docs, numerator, seed, size), "jaccard-sets")
+        found = own.written(measure(docs, numerator, seed, size), "jaccard-sets")
         clash = found.groupBy("node").agg((F.min("chk") != F.max("chk")).alias("x")).where("x").limit(1).count()
         if not clash:
             break
-    rows = found.select("doc_id", "node", "n")
+        own.drop(found)
+    rows = own.written(found.select("doc_id", "node", "n"), "jaccard-rows")
     tokens = found.select("node", F.explode("prefix").alias("token"))
     met = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("token", "m")
-    met = _store.written(met, "jaccard-met")
-    shared, common = bitmap(met, "token"), bitmap(met.where(F.col("m") > COMMON), "token")
-    members = _store.written(shared_prefixes(docs, shared, common, numerator, seed, size), "jaccard-prefixes")
-    more = met_by_fresh(found, bitmap(members.where("fresh"), "token"))
-    members = _store.written(members.drop("fresh").unionByName(more).groupBy("token", "node").agg(F.max("n").alias("n")), "jaccard-tokens")
-    met = members.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    members = _store.written(members.join(met, "token"), "jaccard-buckets")
+    met = own.written(met, "jaccard-met")
+    shared, common = own.send(bitmap(met, "token")), own.send(bitmap(met.where(F.col("m") > COMMON), "token"))
+    plain = own.written(shared_prefixes(docs, shared, common, numerator, seed, size), "jaccard-prefixes")
+    own.drop(met)
+    more = met_by_fresh(found, own.send(bitmap(plain.where("fresh"), "token")))
+    every = own.written(plain.drop("fresh").unionByName(more).groupBy("token", "node").agg(F.max("n").alias("n")), "jaccard-tokens")
+    own.drop(plain, found)
+    met = every.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    members = own.written(every.join(met, "token"), "jaccard-buckets")
+    own.drop(every)
     big = members.where(F.col("m") > SMALL).drop("m")
     carried = big.groupBy("node").agg(F.count(F.lit(1)).alias("big"))
     few = members.where(F.col("m") <= SMALL).join(carried, "node", "left").withColumn("big", F.coalesce("big", F.lit(0).cast("long")))
-    pairs = _store.written(pairs_of_small(few, numerator), "jaccard-pairs")
+    pairs = own.written(pairs_of_small(few, numerator), "jaccard-pairs")
     # a linked pair without a shingle of few members meets in these alone: who holds too few of them for that has no such pair
     least = F.least(hits(F.floor(F.col("n") * numerator / 100)), F.ceil(F.col("n") * numerator / 100))
-    big = _store.written(big.join(carried.where("big > 0"), "node").where(F.col("big") >= least).drop("big"), "jaccard-big")
+    big = own.written(big.join(carried.where("big > 0"), "node").where(F.col("big") >= least).drop("big"), "jaccard-big")
+    own.drop(members)
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).unionByName(big.select("node"))
-    sets = _store.written(sets_of(docs, bitmap(wanted, "node"), seed, size), "jaccard-fragments")
-    links = _store.written(links_among(pairs, sets, numerator), "jaccard-links")
-    labels = _store.written(components(links), "jaccard-labels")
+    sets = own.written(sets_of(docs, own.send(bitmap(wanted, "node")), seed, size), "jaccard-fragments")
+    links = links_among(pairs, sets, numerator, own)
+    own.drop(pairs)
+    labels = components(links, own)
     tested = None
     for r in range(ROUNDS):
-        apart = _apart(big, labels)
+        apart = _apart(big, labels, own)
         if apart.isEmpty():
+            own.drop(apart, sets, big)
             return rows, labels, seed
         centres = apart.groupBy("token").agg(*[f(x, F.xxhash64("node", "token", F.lit(CENTRES * r + k))).alias(f"{x}{k}") for k in range(CENTRES) for f, x in ((F.min_by, "node"), (F.min_by, "n"), (F.min_by, "comp"))])
         centre = F.explode(F.array(*[F.struct(F.col(f"node{k}").alias("node"), F.col(f"n{k}").alias("n"), F.col(f"comp{k}").alias("comp")) for k in range(CENTRES)])).alias("c")
@@ -412,48 +461,56 @@ def _link(docs: DataFrame, numerator: int, size: int = SIZE) -> tuple[DataFrame,
         star = star.select(pick("node", "c.node").alias("a"), pick("n", "c.n").alias("na"), pick("c.node", "node").alias("b"), pick("c.n", "n").alias("nb")).distinct()
         if tested is not None:
             star = star.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        star = _store.written(star, "jaccard-star")
+        star = own.written(star, "jaccard-star")
+        own.drop(apart)
         tested = star if tested is None else tested.unionByName(star)
-        links = links.unionByName(_store.written(links_among(star, sets, numerator), "jaccard-links"))
-        labels = _store.written(components(links), "jaccard-labels")
-    apart = _apart(big, labels)
+        labels = _joined(labels, links_among(star, sets, numerator, own), own)
+    apart = _apart(big, labels, own)
     if not apart.isEmpty():
-        links = links.unionByName(_store.written(links_in_blocks(apart, sets, numerator), "jaccard-links"))
-        labels = _store.written(components(links), "jaccard-labels")
+        labels = _joined(labels, links_in_blocks(apart, sets, numerator, own), own)
+    own.drop(apart, sets, big)
     return rows, labels, seed
 
 
-def with_node(docs: DataFrame, seed: int, numerator: int, size: int = SIZE) -> DataFrame:
-    """docs with the node of each text, in one pass that moves nothing."""
-    rest = docs.drop("_node").withColumn("text", F.col("text").cast("string"))
-    names = rest.columns
+def _joined(labels: DataFrame, links: DataFrame, own: _store.Scratch) -> DataFrame:
+    """labels with further links."""
+    out = components(links.unionByName(labels.where("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b"))), own)
+    own.drop(labels, links)
+    return out
+
+
+def with_node(rows: DataFrame, text: str, seed: int, size: int = SIZE) -> DataFrame:
+    """rows with node, that of the text, in one pass that moves nothing."""
+    names = rows.columns
 
     def run(batches):
-        for b in _words.small_batches(batches, "text", 2 << 20):
-            n, g, w = shingle_sets(b.column(names.index("text")), size)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(signatures(g, w, b.num_rows, seed)[0])], names=[*b.schema.names, "_node"])
+        for b in _words.small_batches(batches, text, 2 << 20):
+            n, g, w = shingle_sets(b.column(names.index(text)), size)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(signatures(g, w, b.num_rows, seed)[0])], names=[*names, "node"])
 
-    return rest.mapInArrow(run, rest.withColumn("_node", F.lit(0).cast("long")).schema)
+    return rows.mapInArrow(run, rows.withColumn("node", F.lit(0).cast("long")).schema)
 
 
 def representatives(docs: DataFrame, numerator: int = NUMERATOR, size: int = SIZE) -> DataFrame:
     """docs with one row of each component, that whose doc_id names it; rows with the empty set all stay."""
-    rows, labels, seed = _link(docs, numerator, size)
+    inner, names = _store.inner(docs)
+    doc, text = _store.place(names, "doc_id"), _store.place(names, "text")
+    inner = inner.withColumn(text, F.col(text).cast("string"))
+    rows, labels, seed = _link(inner.select(F.col(doc).alias("doc_id"), F.col(text).alias("text")), numerator, size)
     named = _store.written(_named(rows, labels), "jaccard-classes").where("n > 0")
     stay = F.col("doc_id").eqNullSafe(F.col("component_id"))
     gone = named.where(~stay).select("doc_id", "node")
     twice = named.where(stay).groupBy("doc_id", "node", "comp").agg(F.count(F.lit(1)).alias("k"))
     many = twice.withColumn("one", F.min("node").over(Window.partitionBy("comp"))).where((F.col("k") > 1) | (F.col("node") != F.col("one"))) if twice.groupBy("comp").agg(F.sum("k").alias("k")).where("k > 1").limit(1).count() else None
-    gone = _store.written(gone.distinct().select(F.col("doc_id").alias("_id"), F.col("node").alias("_gone")), "jaccard-gone")
-    small = gone.limit(200_001).count() <= 200_000
-    noded = with_node(docs, seed, numerator, size)
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_node") == F.col("_gone"))
-    kept = noded.join(F.broadcast(gone) if small else gone, same, "left_anti")
+    gone = _store.written(gone.distinct().select(F.col("doc_id").alias("id"), F.col("node").alias("gone")), "jaccard-gone")
+    noded = with_node(inner, text, seed, size)
+    same = F.col(doc).cast("long").eqNullSafe(F.col("id")) & (F.col("node") == F.col("gone"))
+    kept = _store.bounded_join(noded, gone, same, "left_anti")
     if many is not None:  # rows repeated under one doc_id: one of them
-        many = _store.written(many.select(F.col("doc_id").alias("_id"), F.col("node").alias("_gone"), F.col("one").alias("_one")), "jaccard-many")
+        many = _store.written(many.select(F.col("doc_id").alias("id"), F.col("node").alias("gone"), "one"), "jaccard-many")
         again = kept.join(many, same, "left")
-        kept = again.where("_one IS NULL").select(*kept.columns).unionByName(again.where("_one = _node").dropDuplicates(["doc_id", "_node"]).select(*kept.columns))
-    return kept.select(*docs.columns)
+        kept = again.where("one IS NULL").select(*kept.columns).unionByName(again.where("one = node").dropDuplicates([doc, "node"]).select(*kept.columns))
+    return kept.select(*inner.columns).toDF(*names)
 
 
 def _named(rows: DataFrame, labels: DataFrame) -> DataFrame:

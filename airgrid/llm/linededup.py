@@ -10,7 +10,7 @@ be split; nothing gathers a window's occurrences. Kept lines follow from array_e
 
 Null text has no lines and stays null; a text of under three lines and windows of three empty lines are left alone; rows equal
 in doc_id and text tie and share their fate: neither is a later occurrence of the other. A null doc_id sorts first. Columns
-pass through; n_lines, n_removed and text are set anew. An empty table gives no rows.
+pass through; text is set anew, and columns named n_lines or n_removed in any case are lost to ours. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -46,19 +46,19 @@ def removed_lines(docs: DataFrame, size: int = WINDOW) -> DataFrame:
 
 def dedup(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     """docs with text cleaned, n_lines before and n_removed."""
-    docs = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
-    gone = removed_lines(docs.select("doc_id", "text"), size).select(F.struct("doc_id", "t").alias("_key"), F.col("gone").alias("_gone"))
-    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    keyed = docs.select(*names).withColumn("_key", F.struct("doc_id", F.unhex(F.md5("text")).alias("t")))
-    small = gone.limit(200_001).count() <= 200_000
-    g = (F.broadcast(gone) if small else gone).withColumnRenamed("_key", "_gone_key")
-    joined = keyed.join(g, F.col("_key").eqNullSafe(F.col("_gone_key")), "left").withColumn("_lines", F.split("text", "\n", -1))
-    n, kept = F.coalesce(F.size("_lines"), F.lit(0)), F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n"))
-    n = F.when(F.col("text").isNull(), 0).otherwise(n)
-    out = {c: F.col(c) for c in names} | {"text": text, "n_lines": n.cast("long"), "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long")}
-    out["n_removed"] = F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.size("_gone")).cast("long")
-    return joined.select(*[c.alias(name) for name, c in out.items()])
+    rows, names = _store.inner(docs)
+    doc, text = _store.place(names, "doc_id"), _store.place(names, "text")
+    rows = rows.withColumns({doc: F.col(doc).cast("long"), text: F.col(text).cast("string")})
+    gone = removed_lines(rows.select(F.col(doc).alias("doc_id"), F.col(text).alias("text")), size).select(F.struct("doc_id", "t").alias("gone_key"), "gone")
+    kept_names = [k for k, c in enumerate(names) if c.lower() not in ("n_lines", "n_removed")]
+    keyed = rows.select(*[f"c{k}" for k in kept_names]).withColumn("key", F.struct(F.col(doc).alias("doc_id"), F.unhex(F.md5(text)).alias("t")))
+    joined = _store.bounded_join(keyed, gone, F.col("key").eqNullSafe(F.col("gone_key")), "left").withColumn("lines", F.split(text, "\n", -1))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    clean = F.when(F.col("gone").isNull(), F.col(text)).otherwise(F.array_join(F.transform(kept, lambda i: F.get("lines", i)), "\n"))
+    n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.size("lines")).cast("long")
+    n_removed = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long")
+    columns = [(clean if f"c{k}" == text else F.col(f"c{k}")).alias(f"c{k}") for k in kept_names]
+    return joined.select(*columns, n_lines.alias("n_lines"), n_removed.alias("n_removed")).toDF(*[names[k] for k in kept_names], "n_lines", "n_removed")
 
 
 ORACLE = """

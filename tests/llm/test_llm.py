@@ -1,8 +1,10 @@
 """The ten operators against brute force, with the rows that break things: nulls, empty and very long texts, ties, repeats, clashes."""
 
 import hashlib
+import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -11,8 +13,9 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from airgrid.llm import _words, ann, bpe, dac, decontam, jaccard, langid, linededup, ring, toxicity, warc
+from airgrid.llm import _store, _words, ann, bpe, dac, decontam, jaccard, langid, linededup, ring, toxicity, warc
 
 WORD_BPE, RANKS = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 ODD = [(1, None), (2, ""), (3, " \n\t"), (None, "no id here at all"), (5, "same"), (5, "same"), (6, "same"), (7, "Ünï — 漢字 😀 H̱ İ"), (8, "long " * 40_000), (9, "x" * 50_000), (10, "\n\n\n\n")]
@@ -74,6 +77,56 @@ def test_restores_every_kind_of_disguise():
         assert r.batch(pa.array([same])).to_pylist() == [same]
 
 
+def test_ordinary_words_stay():
+    r = toxicity.Restorer(toxicity.count_trigrams(pa.array(["stupid trash idiot the end of a letter hate kill tomorrow loser. " * 300])))
+    for same in ("4th", "10am", "3d", "90s", "h2o", "mp3s", "r2d2", "2018", "covid19"):
+        assert r.batch(pa.array([f"the {same} of"])).to_pylist() == [f"the {same} of"], same
+    for raw, want in {"1d10t": "idiot", "1d1ot": "idiot", "hat3": "hate", "kil1": "kill", "t0morr0w": "tomorrow", "loser5": "losers", "idiioot": "idiot", "iddiioott": "idiot"}.items():
+        assert r.batch(pa.array([f"the {raw} of"])).to_pylist() == [f"the {want} of"], raw
+
+
+def test_path_is_the_best_of_all():
+    r = toxicity.Restorer(toxicity.count_trigrams(pa.array(["stupid trash idiot the end of a letter hate " * 30])))
+    for raw in (b"1d10t", b"tr@55h", b"s t u p 1 d", b"iidd!", b"st-up1d!", b"", b"4a$$"):
+        steps = r.lattice(raw)
+        best = []
+        for choice in itertools.product(*steps):
+            text, c, x, y = "".join(t for t, _ in choice), sum(e for _, e in choice), 0, 0
+            for ch in [*text.encode(), 32]:
+                z = int(toxicity.CLASSES[ch])
+                c += r.flat[(x * toxicity.N + y) * toxicity.N + z]
+                x, y = y, z
+            best.append((c, text))
+        cost, text = r.path(steps)
+        assert abs(cost - min(best)[0]) < 1e-6 and any(abs(c - cost) < 1e-6 and t == text for c, t in best)
+
+
+def test_long_lines_take_linear_time():
+    r = toxicity.Restorer(toxicity.count_trigrams(pa.array(["the end of a letter " * 30])))
+    for raw in ("ab" * 500_000, "a" * 1_000_000, "!" * 300_000 + "x", "a4" * 100_000, "a " * 200_000, "a" + " " * 500_000 + "b", "a-" * 200_000):
+        began = time.process_time()
+        r.batch(pa.array([f"1t {raw}"]))
+        assert time.process_time() - began < 20
+
+
+def test_scores_equal_plain_ones(spark):
+    """The score against one computed word by word from the model's tables."""
+    docs, labels = toxic_rows(300)
+    d = spark.createDataFrame(docs, SCHEMA)
+    model = toxicity.learn(d, spark.createDataFrame(labels, "doc_id long, toxic int"), toxicity.corpus_trigrams(d))
+    r = toxicity.Restorer(model.trigrams)
+    table = dict(zip(model.hashes.tolist(), model.odds.tolist(), strict=True))
+    hashed = lambda w, k: int(_words.span_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([k]))[0])
+    rows = [*docs[:60], (900, "worthless 1d10t worthless"), (900, "i d i o t"), (901, None)]
+    got = Counter((x["doc_id"], round(x["score"], 9)) for x in toxicity.score(spark.createDataFrame(rows, SCHEMA), model).collect())
+    want = []
+    for i, t in rows:
+        words = set(re.findall(rb"[a-z\x80-\xff]+", r.batch(pa.array([t or ""])).to_pylist()[0].encode()))
+        odds = [max([table.get(hashed(w, len(w)), 0.0), *[table.get(hashed(w, k) ^ k, 0.0) for k in toxicity.PREFIXES if len(w) > k]]) for w in words]
+        want.append((i, round(float(model.score(np.array([sum(o for o in odds if o > 0)]))[0]), 9)))
+    assert got == Counter(want)
+
+
 def test_trigrams_cover_piece_ends(monkeypatch):
     text = "abc def " * 40
     whole = toxicity.count_trigrams(pa.array([text]))
@@ -192,6 +245,60 @@ def test_language_id(spark):
     assert langid.predict(df.limit(0), profiles).count() == 0
 
 
+def test_grams_in_pieces(monkeypatch):
+    texts = ["The cat, the Hat " * 9, "", "x" * 50, "naïve ÉTÉ été ΑΣ " * 5, "12 3!", "a"]
+    whole = langid.grams(texts)
+    for piece in (1, 2, 7, 40):
+        monkeypatch.setattr(langid, "PIECE", piece)
+        monkeypatch.setattr(langid, "_MERGE", 30)
+        assert all(np.array_equal(a, b) for a, b in zip(langid.grams(texts), whole, strict=True))
+
+
+def test_memory_of_a_long_text_follows_the_piece():
+    import tracemalloc
+
+    text = "the quick brown fox é " * 1_400_000  # 30 million letters
+    tracemalloc.start()
+    d, g, n, _ = langid.grams([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert dict(zip(*(x.tolist() for x in langid.grams([text[:220]])[1:3]), strict=True)) == dict(zip(g.tolist(), (n // 140_000).tolist(), strict=True))
+    assert peak < 4 * len(text) + (64 << 20)
+
+
+def test_distances_equal_brute_force():
+    """Out-of-place distance, nearest language (the first of equal ones) and score, from the definition."""
+    rng = random.Random(8)
+    stock = ["the cat sat", "el gato está", "die Katze saß", "un chat était", "zz zz", "12", ""]
+    texts = [" ".join(rng.choice(stock) for _ in range(rng.randint(0, 9))) for _ in range(40)]
+    size = 12
+    code = lambda g: sum((1 if c == " " else ord(c)) << 21 * k for k, c in enumerate(reversed(g)))
+    top = lambda t: [code(g) for g, _ in sorted(brute_grams(t).items(), key=lambda x: (-x[1], code(x[0])))][:size]
+    ranked = {lang: top(t * 3) for lang, t in zip(("de", "en", "es", "fr", "xx"), (stock[2], stock[0], stock[1], stock[3], stock[0]), strict=True)}
+    langs, score, far = langid.Profiles(ranked, size).predict(texts)
+    for t, lang, s, f in zip(texts, langs, score.tolist(), far.tolist(), strict=True):
+        mine = top(t)
+        dist = {k: sum(min(size, abs(v.index(g) - i)) if g in v else size for i, g in enumerate(mine)) for k, v in ranked.items()}
+        a, b = sorted(dist.values())[:2]
+        if not mine:
+            assert (lang, s, f) == ("und", 0.0, 1.0)
+            continue
+        assert lang == min(dist, key=lambda k: (dist[k], k)) != "xx"  # xx has en's profile and comes later
+        assert s == pytest.approx((b - a) / b if b else 0) and f == pytest.approx(a / (len(mine) * size))
+
+
+def test_foreign_and_odd_rows(spark):
+    """A text in no known language goes, rows of one id are judged each, and columns like ours in another case are lost or kept."""
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choice(["tion", "the", "and", "ing"]) + rng.choice(["er", "on"]) for _ in range(40)), "en") for i in range(60)]
+    df = spark.createDataFrame(rows, SCHEMA + ", lang string")
+    profiles = langid.learn(df)
+    odd = spark.createDataFrame([(1, rows[0][1], "a", 1.0), (1, "これは 日本語 の 文章 です", "b", 2.0), (1, rows[1][1], "c", 3.0)], "doc_id long, TEXT string, Lang_Pred string, Distance double")
+    assert {r["Lang_Pred"] for r in langid.accepted(odd, profiles).collect()} == {"a", "c"} and langid.accepted(odd, profiles).columns == odd.columns
+    got = langid.predict(odd, profiles)
+    assert got.columns == ["doc_id", "TEXT", "lang_pred", "score", "distance"] and got.count() == 3
+
+
 # ---- 4 n-gram join ---------------------------------------------------------------------------------------------------
 
 
@@ -267,9 +374,44 @@ def test_join_of_nothing(spark):
     assert jaccard.representatives(spark.createDataFrame(ODD[:3], SCHEMA)).count() == 3
 
 
-def test_components_of_a_chain(spark):
+def test_stars():
+    rng = np.random.default_rng(0)
+    for n, m in ((1, 1), (50, 30), (500, 480), (2000, 5000)):
+        u, v = rng.integers(0, n, m), rng.integers(0, n, m)
+        up = {}
+
+        def root(x):
+            while up.get(x, x) != x:
+                x = up[x]
+            return x
+
+        for a, b in zip(u.tolist(), v.tolist(), strict=True):
+            a, b = sorted((root(a), root(b)))
+            up[b] = a
+        nodes, least = jaccard.stars(u, v)
+        assert {x: y for x, y in zip(nodes.tolist(), least.tolist(), strict=True)} == {x: root(x) for x in {*u.tolist(), *v.tolist()}}
+
+
+def test_bitmaps(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "MAP_BITS", 1 << 14)
+    for n, most in ((0, 0.0), (1, 0.01), (1000, 0.2), (100_000, 1.0)):
+        m = jaccard.bitmap(spark.range(n).select((F.col("id") * 7).alias("x")), "x")
+        assert m.holds(np.arange(n, dtype=np.int64) * 7).all()
+        assert m.holds(np.arange(10_000, dtype=np.int64) * 7 + 1).mean() <= most
+
+
+def test_join_with_clashing_names(spark):
+    rows = [(1, "a b c d e f", 1, 2, "x"), (2, "A b c d e f", 3, 4, "y"), (2, "A b c d e f", 5, 6, "y"), (3, None, 7, 8, "z")]
+    df = spark.createDataFrame(rows, "DOC_ID long, text string, node long, id long, gone string")
+    out = jaccard.representatives(df)
+    assert out.columns == df.columns and sorted(tuple(r) for r in out.collect()) == [rows[0], rows[3]]
+
+
+@pytest.mark.parametrize("edges", [jaccard.EDGES, 0])
+def test_components_of_a_chain(spark, monkeypatch, edges):
+    monkeypatch.setattr(jaccard, "EDGES", edges)
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long").repartition(4)
-    got = {r["node"]: r["comp"] for r in jaccard.components(links).collect()}
+    got = {r["node"]: r["comp"] for r in jaccard.components(links, _store.Scratch(spark)).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
 
 
@@ -316,21 +458,72 @@ def brute_neighbours(v, every, k):
     return out
 
 
-@pytest.mark.parametrize("shape", ["15", "21", "cluster", "copies"])
-def test_every_query_has_its_exact_neighbours(spark, shape):
-    """Tables of hardly more rows than k, and a hot cluster or a vector repeated beside isolated ones."""
-    rng = np.random.default_rng(5)
-    v = rng.standard_normal((int(shape) if shape.isdigit() else 6000, 32))
-    if not shape.isdigit():
-        v /= np.linalg.norm(v, axis=1, keepdims=True)
-        hot = rng.permutation(6000)[:2000]
-        v[hot] = v[0] if shape == "copies" else v[0] + 0.003 * rng.standard_normal((2000, 32))
-    got = {}
+def searched(spark, v, **settings):
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
-    every = 1 if shape.isdigit() else 20
-    for r in ann.search(df, every=every).orderBy("query_id", "rank").collect():
+    got = {}
+    for r in ann.search(df, **settings).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
-    assert got == brute_neighbours(v, every, 20)
+    return got
+
+
+@pytest.mark.parametrize("rows", [15, 21])
+def test_hardly_more_rows_than_neighbours(spark, rows):
+    v = np.random.default_rng(5).standard_normal((rows, 32))
+    assert searched(spark, v, every=1) == brute_neighbours(v, 1, 20)
+
+
+@pytest.mark.parametrize("shape", ["even", "cluster", "copies", "norms"])
+def test_every_kind_of_query_finds_its_neighbours(spark, monkeypatch, shape):
+    """Three functions a table and more; split buckets, many groups, blocks of few queries. A hot cluster or a vector repeated has no
+    part in how far isolated queries are searched, and short vectors none in how far long ones are."""
+    monkeypatch.setattr(ann, "BUCKET", 100)
+    monkeypatch.setattr(ann, "GROUP", 500)
+    monkeypatch.setattr(ann, "QUERIES", 64)
+    monkeypatch.setattr(ann, "HELD", 3000)
+    rng = np.random.default_rng(5)
+    v = rng.standard_normal((6000, 32))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    hot = rng.permutation(6000)[:2000]
+    if shape in ("cluster", "copies"):
+        v[hot] = v[0] if shape == "copies" else v[0] + 0.003 * rng.standard_normal((2000, 32))
+    elif shape == "norms":
+        v[hot] *= rng.uniform(0.3, 1.0, (2000, 1))
+    got, want = searched(spark, v), brute_neighbours(v, 20, 20)
+    assert got.keys() == want.keys() and all(len(f) == 20 for f in got.values())
+    score = {q: (v * v[q]).sum(axis=1) for q in want}
+    assert all(f == sorted(f, key=lambda x: (-x[1], x[0])) and all(s == score[q][i] for i, s in f) for q, f in got.items())
+    isolated = [q for q in want if q not in set(hot.tolist()) | {0}]
+    for some in (list(want), isolated):
+        assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 20 for q in some]) >= 0.9
+
+
+def test_success_is_the_chance_to_meet(monkeypatch):
+    """The estimated success of the buckets visited is the share of points at that distance which lie in them."""
+    monkeypatch.setattr(ann, "TABLES", 1)
+    rng = np.random.default_rng(1)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    for m, d in ((2, 1.0), (4, 0.7)):
+        hit, said = [], []
+        for seed in range(40):
+            h = ann.Hashing(24, m, 1.0, seed)
+            q = unit(rng.standard_normal((1, 24)))
+            side = unit(rng.standard_normal((400, 24)) * [1.0] * 24)
+            side = unit(side - (side @ q.T) * q)
+            c = 1 - d * d / 2
+            x, y = h.queries(q), h.points(c * q + np.sqrt(1 - c * c) * side)
+            ((s, p, order),), visits, _ = h.plan(x, np.array([d]), 0.6)
+            some = order[0, : visits[0]]
+            met = np.isin(h.code(h.slots(y, 0)[0], 0), h.code(s + h.moves[some], 0))
+            hit.append(met.mean())
+            said.append(p[0, some].sum())
+        assert abs(np.mean(hit) - np.mean(said)) < 0.05
+
+
+def test_moves():
+    for m in (1, 2, 5):
+        assert {tuple(x) for x in ann.moves(m).tolist()} == set(itertools.product(range(-2, 3), repeat=m))
+    far = ann.moves(12)
+    assert len({tuple(x) for x in far.tolist()}) == len(far) <= 4 * ann.MOVES and not far[0].any()
 
 
 # ---- 6 decontamination -----------------------------------------------------------------------------------------------
@@ -369,6 +562,47 @@ def test_decontamination(spark, monkeypatch, limit):
     assert kept.columns == d.columns and kept.count() == sum(not x[4] for x in brute_hits(docs, items))
 
 
+def test_suffix_array():
+    rng = np.random.default_rng(3)
+    for n, kinds in ((1, 1), (30, 2), (300, 3), (500, 400), (400, 1)):
+        x = np.append(rng.integers(1, kinds + 1, n), 0)
+        assert decontam.suffix_array(x).tolist() == sorted(range(n + 1), key=lambda i: x[i:].tolist())
+
+
+def test_longest_matches_equal_brute_force(monkeypatch):
+    """Matches across shards, of items with common windows, told from the definition."""
+    rng = random.Random(6)
+    item = lambda n: [rng.choice(["a", "b", "c"]) for _ in range(n)]
+    items = [(str(i), item(rng.choice([0, 2, 4, 5, 9]))) for i in range(8)]
+    docs = [item(rng.randint(0, 60)) + rng.choice(items)[1] + ["zz"] * rng.randint(0, 2) for _ in range(25)]
+    side = decontam.TestSide([(i, " ".join(w)) for i, w in items], window=4)
+    texts = pa.array([" ".join(w) for w in docs])
+    for shard in (7, 50, 1 << 19):
+        monkeypatch.setattr(decontam, "SHARD", shard)
+        got = side.search(texts)
+        for k, w in enumerate(docs):
+            want, hit = [], set()
+            for name, x in items:
+                for p, q in itertools.product(range(len(w)), range(len(x))):
+                    if p and q and w[p - 1] == x[q - 1] or q > max(0, len(x) - 4):
+                        continue
+                    n = 0
+                    while p + n < len(w) and q + n < len(x) and w[p + n] == x[q + n]:
+                        n += 1
+                    if n >= min(4, len(x)):
+                        want.append((name, q, p, n))
+                        hit |= set(range(p, p + n))
+            assert sorted((s["item_id"], s["item_at"], s["at"], s["n_words"]) for s in got["spans"][k].as_py()) == sorted(want)
+            assert got["n_hit"][k].as_py() == len(hit) and got["items"][k].as_py() == sorted({x[0] for x in want})
+
+
+def test_decontamination_keeps_clashing_columns(spark):
+    words = " ".join(f"w{i}" for i in range(20))
+    df = spark.createDataFrame([(1, words, 5, "a"), (2, "clean words", 6, "b")], "doc_id long, TEXT string, N_Words int, items string")
+    out = decontam.decontaminate(df, spark.createDataFrame([(7, words)], "item_id long, text string"))
+    assert out.columns == df.columns and [tuple(r) for r in out.collect()] == [(2, "clean words", 6, "b")]
+
+
 def test_longest_match_and_nothing(spark):
     text = " ".join(f"w{i}" for i in range(30))
     b = spark.createDataFrame([(7, text)], "item_id long, text string")
@@ -384,15 +618,15 @@ def test_longest_match_and_nothing(spark):
 
 def test_bpe(spark):
     c = bpe.codec(RANKS, public_tokenizers.PATTERN)
-    texts = [t or "" for _, t in ODD] + ["It's a test, of 3 pieces.  Two  blanks x", "a b " * 50]
+    texts = [t or "" for _, t in ODD] + ["It's a test, of 3 pieces.  Two  blanks x", "a b " * 50, "Это длинный текст, а не короткий. " * 9, "これは長い文章です。それでも切れます、はい！" * 9, "Ένα ’s 'sé dü  ü\u3000x "]
     for t in texts:
         want = c.bpe.encode_ordinary(t)
         for limit in (7, 1000, bpe.PIECE_CHARS):
             assert np.concatenate([*c.encode(t, limit)]).tolist() == want
         assert c.decode(want) == t.encode()
-    df = spark.createDataFrame([(*r, 5) for r in ODD], SCHEMA + ", n_tokens int")
+    df = spark.createDataFrame([(*r, 5) for r in ODD], "doc_id long, TEXT string, N_Tokens int")
     back = bpe.decode(bpe.encode(df, RANKS, public_tokenizers.PATTERN), RANKS, public_tokenizers.PATTERN).collect()
-    assert all(bytes(r["decoded"]) == (r["text"] or "").encode() for r in back) and len(back) == len(ODD)
+    assert all(bytes(r["decoded"]) == (r["TEXT"] or "").encode() and 4 * r["n_tokens"] == len(r["token_ids"]) for r in back) and len(back) == len(ODD)
     got = Counter((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in bpe.digests(df, RANKS, public_tokenizers.PATTERN).collect())
     ids = lambda t: np.array(c.bpe.encode_ordinary(t or ""), dtype="<u4").tobytes()
     assert got == Counter((d, len(ids(t)) // 4, hashlib.sha256(ids(t)).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()) for d, t in ODD)
