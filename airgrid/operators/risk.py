@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from airgrid.functions import scalars as S
+from airgrid.functions.names import free
+from airgrid.operators.quantiles import exact_quantiles
 
 
 def density(population: Column, land_m2: Column) -> Column:
@@ -23,14 +25,25 @@ def population_join(groups: DataFrame, people: DataFrame) -> DataFrame:
 
 def quantile_risk(df: DataFrame, column: str = "density_p_km2", mid: float = 0.70, top: float = 0.90) -> DataFrame:
     """df with density_risk: at or above the exact quantiles of the non-null values. Two numbers travel."""
-    q = df.agg(F.percentile(column, F.array(F.lit(mid), F.lit(top))).alias("_q"))
-    return df.join(F.broadcast(q)).withColumn("density_risk", S.quantile_class(F.col(column), F.col("_q")[0], F.col("_q")[1])).drop("_q")
+    names = [free(n, df) for n in ("q_mid", "q_top")]
+    q = exact_quantiles(df, F.col(column), [mid, top]).select(F.col("q0").alias(names[0]), F.col("q1").alias(names[1]))
+    return df.join(F.broadcast(q), F.lit(True), "left").withColumn("density_risk", S.quantile_class(F.col(column), *[F.col(n) for n in names])).drop(*names)
 
 
 def profile(df: DataFrame, column: str) -> DataFrame:
-    """Rows, missing, non-zero, least, largest and mean of a column."""
+    """Rows, missing, non-zero, least, largest, mean, spread and quartiles of a column."""
     c = F.col(column)
-    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(c.isNull()).alias("n_missing"), F.count_if(c != 0).alias("n_nonzero"), F.min(c).alias("min_value"), F.max(c).alias("max_value"), F.avg(c).alias("mean_value"))
+    quartiles = exact_quantiles(df, c, [0.25, 0.5, 0.75]).toDF("quartile_1", "median", "quartile_3")
+    return _described(df, c).join(F.broadcast(quartiles), F.lit(True), "left")
+
+
+def value_counts(df: DataFrame, column: str) -> DataFrame:
+    """How often each value of a column stands, null included, the commonest first."""
+    return df.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "value")
+
+
+def _described(df: DataFrame, c: Column) -> DataFrame:
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(c.isNull()).alias("n_missing"), F.count_if(c != 0).alias("n_nonzero"), F.min(c).alias("min_value"), F.max(c).alias("max_value"), F.avg(c).alias("mean_value"), F.stddev_samp(c).alias("spread"))
 
 
 def combine(cells: DataFrame) -> DataFrame:
