@@ -107,6 +107,16 @@ def circle_crossings(x0, y0, r0, x1, y1, r1) -> Column:
     return F.when((d > 0) & (d <= r0 + r1) & (d >= F.abs(r0 - r1)) & (h2 >= 0), both).otherwise(F.slice(both, 1, 0))
 
 
+def straight_line(x1, y1, x2, y2) -> Column:
+    """A line from one point to another, as geometries are held: its two ends."""
+    return F.array(*[F.struct(_c(x).alias("x"), _c(y).alias("y")) for x, y in ((x1, y1), (x2, y2))])
+
+
+def ring_label(lat, lon, radius_m, away_m=250.0) -> tuple[Column, Column]:
+    """(lat, lon) of a circle's label: due north of its centre, away_m outside it, by the metres of a degree of latitude."""
+    return _c(lat) + (_c(radius_m) + _c(away_m)) / 111_320.0, _c(lon)
+
+
 # ---- the same on the driver, for configuration only --------------------------------------------------------------------
 
 

@@ -33,14 +33,10 @@ def _travel(a: Point, metres: float, bearing: float) -> Point:
 
 
 def _arc(centre: Point, nm: float, a: Point, b: Point, sense: str, steps: int) -> list[Point]:
-    """Points of an arc behind its first, from the bearing of a to that of b; a counter-clockwise sweep to a larger bearing goes by
-    way of that bearing's distance to a full turn, as the published shelves need."""
+    """Points of an arc behind its first, from the bearing of a to that of b: the angle between them, clockwise or against it."""
     first, last = _bearing(centre, a), _bearing(centre, b)
-    if sense == "cw":
-        sweep = last - first if last >= first else 360.0 - first + last
-    else:
-        sweep = -(first - last) if first >= last else -(first + 360.0 - last)
-    return [_travel(centre, nm * geo.NM_TO_M, (first + sweep * k / steps) % 360.0) for k in range(1, steps + 1)]
+    turn = (last - first) % 360.0 if sense == "cw" else -((first - last) % 360.0)
+    return [_travel(centre, nm * geo.NM_TO_M, (first + turn * k / steps) % 360.0) for k in range(1, steps + 1)]
 
 
 def ring_of(parts: list) -> list[Point]:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from airgrid.functions import scalars as S
-from airgrid.operators.traffic import HORIZONS, anchored
+from airgrid.operators.traffic import HORIZONS, carried, opened
 
 
 def _window(order: tuple[str, ...]):
@@ -37,9 +37,11 @@ def interpolate(obs: DataFrame, step: int = 5, max_gap: int = 180, order: tuple[
 
 def density3d(obs: DataFrame, hours=HORIZONS, unit: int = 3600, step_deg: float = 0.01, step_ft: float = 1000.0, least: int = 2) -> DataFrame:
     """Observations per latitude, longitude and altitude bin and horizon, bins of at least `least`; cost counts the bin's whole
-    column, dropped bins included. Keys are integers: half-even for degrees, floor for feet; sizes are multiplied in last."""
-    keyed = anchored(obs, hours, unit).select("hours", F.rint(F.col("lat") / step_deg).cast("long").alias("lat_i"), F.rint(F.col("lon") / step_deg).cast("long").alias("lon_i"), F.floor(F.col("altitude_agl_ft") / step_ft).alias("alt_i"))
-    bins = keyed.groupBy("hours", "lat_i", "lon_i", "alt_i").agg(F.count(F.lit(1)).alias("count"))
+    column, dropped bins included. Keys are integers: half-even for degrees, floor for feet; sizes are multiplied in last. Rows are counted
+    where their first horizon is, and the counts carried to the later ones."""
+    keyed = opened(obs, hours, unit).select("hours", F.rint(F.col("lat") / step_deg).cast("long").alias("lat_i"), F.rint(F.col("lon") / step_deg).cast("long").alias("lon_i"), F.floor(F.col("altitude_agl_ft") / step_ft).alias("alt_i"))
+    key = ["hours", "lat_i", "lon_i", "alt_i"]
+    bins = carried(keyed.groupBy(*key).agg(F.count(F.lit(1)).alias("new")), hours).groupBy(*key).agg(F.sum("new").alias("count"))
     bins = bins.withColumn("cost", F.sum("count").over(Window.partitionBy("hours", "lat_i", "lon_i"))).where(F.col("count") >= least)
     bottom = F.col("alt_i") * step_ft
     # the radius follows from the steps alone
@@ -47,6 +49,11 @@ def density3d(obs: DataFrame, hours=HORIZONS, unit: int = 3600, step_deg: float
     return bins.withColumns({"lat": F.col("lat_i") * step_deg, "lon": F.col("lon_i") * step_deg, "altitude_bottom_ft": bottom, "altitude_top_ft": bottom + step_ft, "altitude_mid_ft": bottom + step_ft / 2, "radius_m": F.lit(radius)})
 
 
+def by_count(bins: DataFrame) -> DataFrame:
+    """Bins of each horizon from the fullest on, equal ones by place."""
+    return bins.orderBy("hours", F.desc("count"), "lat_i", "lon_i", "alt_i")
+
+
 def flatten_costs(bins: DataFrame) -> DataFrame:
     """The export: one table over horizons, hours as text."""
     return bins.select(F.col("hours").cast("string").alias("hours"), "lat", "lon", "altitude_bottom_ft", "altitude_top_ft", "altitude_mid_ft", F.col("count").alias("observation_count"), "cost")
@@ -64,8 +71,11 @@ def stride(obs: DataFrame, every: int, order: tuple[str, ...] = ("time",)) -> Da
 
 def tracks(obs: DataFrame, every: int = 3, hours=HORIZONS, unit: int = 3600, order: tuple[str, ...] = ("time",)) -> DataFrame:
     """Per horizon and aircraft: path in order, samples, mean and largest altitude, first position, colour; of sampled rows, two
-    at least. A track is a row, so its length is one aircraft's within a horizon."""
-    sampled = anchored(obs, hours, unit).withColumn("n", F.row_number().over(Window.partitionBy("hours", "icao24").orderBy(*order)) - 1).where(F.col("n") % max(1, every) == 0)
+    at least. A track is a row, so its length is one aircraft's within a horizon. order begins with time: horizons are then prefixes of
+    one order, so rows are numbered and thinned once, before they are carried to the later horizons."""
+    if order[0] != "time":
+        raise ValueError("order must begin with time")
+    sampled = carried(stride(opened(obs, hours, unit), every, order), hours)
     point = F.struct(*order, F.col("lon"), F.col("lat"), F.col("altitude_agl_ft").alias("alt"))
     rows = sampled.groupBy("hours", "icao24").agg(F.sort_array(F.collect_list(point)).alias("points"), F.count(F.lit(1)).alias("samples"), F.avg("altitude_agl_ft").alias("mean_altitude_ft"), F.max("altitude_agl_ft").alias("max_altitude_ft"))
     rows = rows.where(F.col("samples") >= 2)
