@@ -11,10 +11,13 @@ from __future__ import annotations
 import heapq
 import math
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from airgrid.functions.names import free
 from airgrid.sources import constants as K
 
 TERMS = ("distance", "population", "airspace", "traffic")
@@ -109,6 +112,97 @@ def shortest_paths(edges: DataFrame, ends: DataFrame, by: list[str], node: str =
     return edges.select(*by, "src", "dst", "weight").groupBy(*by).applyInPandas(search, schema)
 
 
+class Network:
+    """Undirected edges in rows by node: the neighbours of node i (a place in nodes, which are in order) are near[i]."""
+
+    def __init__(self, src: np.ndarray, dst: np.ndarray):
+        self.nodes, at = np.unique(np.concatenate([src, dst]), return_inverse=True)
+        a, b = at[: len(src)], at[len(src) :]
+        begin = np.concatenate([a, b])
+        self._order = np.argsort(begin, kind="stable")
+        self._ends = np.cumsum(np.bincount(begin, minlength=len(self.nodes)))[:-1]
+        self.near = [x.tolist() for x in np.split(np.concatenate([b, a])[self._order], self._ends)]
+
+    def weighted(self, weight: np.ndarray) -> list[list[float]]:
+        """The weights of the edges in near; a missing one is never passed."""
+        w = np.concatenate([weight, weight])[self._order]
+        return [x.tolist() for x in np.split(np.where(np.isnan(w), np.inf, w), self._ends)]
+
+    def place(self, node) -> int | None:
+        k = int(np.searchsorted(self.nodes, node))
+        return k if k < len(self.nodes) and self.nodes[k] == node else None
+
+
+def heuristic(x: np.ndarray, y: np.ndarray, goals: list[int], distance_weight: float, longest: float) -> np.ndarray | None:
+    """For each node the least that the way to the nearest goal can cost: the straight distance as the distance term counts it, the
+    other terms being no less than 0. Being a least distance it is consistent, so a node is settled once. None if it would be 0."""
+    if distance_weight <= 0 or longest <= 0 or not goals:
+        return None
+    least = np.min([np.hypot(x - x[g], y - y[g]) for g in goals], axis=0)
+    return distance_weight * (least / longest) * (1 - 1e-12)
+
+
+def astar(near: list[list[int]], weight: list[list[float]], start: int, goals: set[int], bound: np.ndarray | None = None) -> dict[int, tuple[float, list[int]]]:
+    """goal -> (cost, path) of every goal that can be reached, the nodes most promising by cost so far and bound first (by cost alone
+    without one). Equal costs prefer the smaller predecessor."""
+    rest = [0.0] * len(near) if bound is None else bound.tolist()
+    cost, back, done = [math.inf] * len(near), [-1] * len(near), bytearray(len(near))
+    cost[start], todo, heap = 0.0, set(goals), [(rest[start], start)]
+    while heap and todo:
+        u = heapq.heappop(heap)[1]
+        if done[u]:
+            continue
+        done[u] = 1
+        todo.discard(u)
+        d = cost[u]
+        for v, w in zip(near[u], weight[u], strict=True):
+            n = d + w
+            if n < cost[v]:
+                if not done[v]:
+                    cost[v], back[v] = n, u
+                    heapq.heappush(heap, (n + rest[v], v))
+            elif n == cost[v] and u < back[v] and not done[v]:
+                back[v] = u
+    out = {}
+    for g in goals:
+        if done[g]:
+            path = [g]
+            while path[-1] != start:
+                path.append(back[path[-1]])
+            out[g] = (cost[g], path[::-1])
+    return out
+
+
+def preset_paths(terms: DataFrame, routes: DataFrame, ends: DataFrame, by: list[str], centres=None) -> DataFrame:
+    """by, route_name, destination, total_cost, path: for every group of edges with terms, all presets (routes) and ends, both a few
+    rows of configuration. The terms travel once per group and are weighed in its task, for every preset in turn. centres (node
+    ids to x, y) lets searches with a distance weight go by the straight distance."""
+    goals = [(r["start"], r["goal"], r["destination"]) for r in ends.select("start", "goal", "destination").collect()]  # configuration
+    specs = [(r["route_name"], [r[f"{t}_weight"] for t in TERMS]) for r in routes.collect()]  # configuration
+    kinds = {f.name: f.dataType.simpleString() for f in terms.schema.fields}
+
+    def search(key, table):
+        column = {c: table[c].to_numpy() for c in ("src", "dst", "distance_m", *TERMS)}
+        net, out = Network(column["src"], column["dst"]), []
+        x, y = centres(net.nodes) if centres else (None, None)
+        for name, weights in specs:
+            weight = net.weighted(sum((w * column[t] for w, t in zip(weights[1:], TERMS[1:], strict=True)), weights[0] * column["distance"]))
+            for start in sorted({g[0] for g in goals}):
+                mine = {net.place(g): (g, d) for s, g, d in goals if s == start}
+                mine.pop(None, None)
+                at = net.place(start)
+                if at is None or not mine:
+                    continue
+                bound = heuristic(x, y, sorted(mine), weights[0], float(column["distance_m"].max())) if centres else None
+                for g, (cost, path) in astar(net.near, weight, at, set(mine), bound).items():
+                    out += [(name, d, cost, net.nodes[path].tolist()) for s, goal, d in goals if s == start and goal == mine[g][0]]
+        data = [pa.array([k.as_py()] * len(out), k.type) for k in key] + [pa.array([r[j] for r in out], t) for j, t in enumerate((pa.string(), pa.string(), pa.float64(), pa.list_(pa.int64())))]
+        return pa.table(data, names=[*by, "route_name", "destination", "total_cost", "path"])
+
+    schema = ", ".join([*[f"{c} {kinds[c]}" for c in by], "route_name string, destination string", "total_cost double", "path array<long>"])
+    return terms.select(*by, "src", "dst", "distance_m", *TERMS).groupBy(*by).applyInArrow(search, schema)
+
+
 def turn_cost(ax: float, ay: float, bx: float, by: float, cx: float, cy: float, weight: float) -> float:
     """weight * (heading change / 180°)²; none where a step has no length."""
     ux, uy, vx, vy = bx - ax, by - ay, cx - bx, cy - by
@@ -176,12 +270,20 @@ def turn_paths(edges: DataFrame, ends: DataFrame, by: list[str], weight: float =
 # ---- the relational search -------------------------------------------------------------------------------------------
 
 
+def checkpoints(spark) -> None:
+    """Sees to it that checkpoint() has the cluster's shared folder; one of our own only in local mode, where nothing is shared."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not base and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set")
+        spark.sparkContext.setCheckpointDir(base or "/tmp/checkpoints/airgrid")
+
+
 def relax(edges: DataFrame, start, rounds: int = 10_000, every: int = 4) -> DataFrame:
     """node, cost from one start over undirected edges (src, dst, weight): each round takes the nodes that got cheaper one hop
     further. Every few rounds the state is checkpointed; it ends when no node gets cheaper."""
     spark = edges.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/airgrid")
+    checkpoints(spark)
     hops = both_ways(edges.select("src", "dst", F.col("weight").cast("double").alias("weight"))).persist()
     state = spark.createDataFrame([(start, 0.0, True)], f"node {edges.schema['src'].dataType.simpleString()}, cost double, fresh boolean")
     for k in range(rounds):
@@ -229,5 +331,6 @@ def polylines(paths: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFrame:
 
 def cells_deduped(points: DataFrame, keys: list[str], order: str, cell: str = "cell_id") -> DataFrame:
     """Without the points that stay in the cell of the one before."""
+    b = free("before", points)
     before = F.lag(cell).over(Window.partitionBy(*keys).orderBy(order))
-    return points.withColumn("_b", before).where(F.col("_b").isNull() | (F.col("_b") != F.col(cell))).drop("_b")
+    return points.withColumn(b, before).where(F.col(b).isNull() | (F.col(b) != F.col(cell))).drop(b)

@@ -5,10 +5,12 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airgrid.functions import geo
+from airgrid.functions.names import free
 from airgrid.sources import constants as K
 
 
@@ -56,6 +58,27 @@ class Grid:
         return rows.withColumns(box).withColumns({"cx": (F.col("xmin") + F.col("xmax")) / 2, "cy": (F.col("ymin") + F.col("ymax")) / 2, "area_m2": area})
 
 
+    def centres(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """x and y of cells' centres, as cells() has them."""
+        x0, y0, x1, y1 = self.corners
+        ny = self.shape[1]
+        mid = lambda k, lo, hi: (k * self.cell + lo + np.minimum((k + 1) * self.cell + lo, hi)) / 2
+        return mid(ids // ny, x0, x1), mid(ids % ny, y0, y1)
+
+
+def from_other(cells: DataFrame, other: Grid, values: DataFrame, columns: list[str]) -> DataFrame:
+    """cells with columns of another grid's cell (values: cell_id and the columns) that holds their centre: null where none does. The
+    other cell is arithmetic, whatever its size, so the join is one on integers."""
+    at, inner = free("other_cell", cells), free("held", cells)
+    x0, y0, x1, y1 = other.corners
+    nx, ny = other.shape
+    ix, iy = other.index(F.col("cx"), F.col("cy"))
+    inside = F.col("cx").between(x0, x1) & F.col("cy").between(y0, y1)
+    place = F.when(inside, F.least(ix, F.lit(nx - 1)) * ny + F.least(iy, F.lit(ny - 1)))
+    right = values.select(F.col("cell_id").alias(inner), *columns)
+    return cells.drop(*columns).withColumn(at, place).join(right, F.col(at) == F.col(inner), "left").drop(at, inner)
+
+
 #: Half of the eight neighbours; the other half are the same edges from the other end.
 FORWARD = ((1, -1), (1, 0), (1, 1), (0, 1))
 

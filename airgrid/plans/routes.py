@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airgrid.functions import geo
@@ -48,19 +48,26 @@ def cells_in_polygons(cells: DataFrame, polygons: DataFrame, side: float = 10_00
 
 
 def dated(obs: DataFrame, datasets: list[str]) -> DataFrame:
-    """obs with a dataset per row, by day of observation in turn: a stand-in for one export per date."""
+    """obs with a dataset per row; where they have none yet, by day of observation in turn, a stand-in for one export per date."""
+    if "dataset_slug" in obs.columns:
+        return obs.where(F.col("dataset_slug").isin(*datasets))
     names = F.array(*[F.lit(x) for x in datasets])
     return obs.withColumn("dataset_slug", F.get(names, F.pmod(F.floor(F.col("time") / 86400), F.lit(len(datasets))).cast("int")))
 
 
-def weighted_edges(spark: SparkSession, obs: DataFrame, grid: grids.Grid, presets: DataFrame, datasets: list[str]) -> DataFrame:
-    """Edges of the grid by dataset_slug and route_name, with terms and weight."""
+def dated_terms(spark: SparkSession, obs: DataFrame, grid: grids.Grid, datasets: list[str]) -> DataFrame:
+    """Edges of the grid by dataset_slug with their terms, once whatever the number of presets."""
     cells = risk_cells(spark, grid, F.pmod(F.col("cell_id") * 37, F.lit(1500)).cast("double"))
     base = normalize.normalize(cells, "city_risk", "population")
     base = normalize.normalize(base, "airport_risk_combined", "airspace", percentile=99, power=0.75).select("cell_id", "cx", "cy", "ix", "iy", "population", "airspace")
     counted = traffic.counts(dated(obs, datasets), base, grid, by=["dataset_slug"])
     nodes = normalize.normalize(counted, "traffic", "traffic_norm", percentile=95, log=True, power=0.75, by=["dataset_slug"]).drop("traffic").withColumnRenamed("traffic_norm", "traffic")
-    return graph.weigh(graph.edge_terms(grids.edges(grid.cells(spark)), nodes, by=["dataset_slug"]), presets)
+    return graph.edge_terms(grids.edges(grid.cells(spark)), nodes, by=["dataset_slug"])
+
+
+def weighted_edges(spark: SparkSession, obs: DataFrame, grid: grids.Grid, presets: DataFrame, datasets: list[str]) -> DataFrame:
+    """Edges of the grid by dataset_slug and route_name, with terms and weight."""
+    return graph.weigh(dated_terms(spark, obs, grid, datasets), presets)
 
 
 def ends(spark: SparkSession, grid: grids.Grid) -> DataFrame:
@@ -72,23 +79,25 @@ def ends(spark: SparkSession, grid: grids.Grid) -> DataFrame:
 
 
 def grid_routes(spark: SparkSession, obs: DataFrame, grid: grids.Grid, datasets: list[str] | None = None) -> DataFrame:
-    """dataset_slug, route_name, destination, total_cost, path_nodes, path: one search per date and preset gives every
+    """dataset_slug, route_name, destination, total_cost, path_nodes, path: one task per date searches for every preset and
     destination."""
-    edges = weighted_edges(spark, obs, grid, graph.presets(spark), datasets or K.DATASETS)
-    out = graph.shortest_paths(edges, ends(spark, grid), ["dataset_slug", "route_name"])
+    terms = dated_terms(spark, obs, grid, datasets or K.DATASETS)
+    out = graph.preset_paths(terms, graph.presets(spark), ends(spark, grid), ["dataset_slug"], grid.centres)
     return out.withColumns({"path_nodes": F.size("path").cast("long"), "dataset_label": S.dataset_label(F.col("dataset_slug"))})
 
 
 def smoothed_routes(spark: SparkSession, obs: DataFrame, grid: grids.Grid, datasets: list[str] | None = None, turn_weight: float = 1.5, samples: int = 6) -> DataFrame:
     """Three ways to smooth the combined routes: turn penalties, a spline, both; with the search's cost and the base weights'."""
     keys = ["dataset_slug", "destination", "technique"]
+    graph.checkpoints(spark)
     combined = weighted_edges(spark, obs, grid, graph.presets(spark).where("route_name = 'combined'"), datasets or K.DATASETS).select("dataset_slug", "src", "dst", "weight")
+    combined = combined.checkpoint(False)  # read by both searches and the scoring
     cells = grid.cells(spark)
     end = lambda n, k: cells.select(F.col("cell_id").alias(n), F.col("cx").alias(f"x{k}"), F.col("cy").alias(f"y{k}"))
     sited = combined.join(end("src", 1), "src").join(end("dst", 2), "dst")
-    turned = graph.turn_paths(sited, ends(spark, grid), ["dataset_slug"], turn_weight).persist()  # a few rows, used three times
-    plain = graph.shortest_paths(combined, ends(spark, grid), ["dataset_slug"]).persist()
-    every = turned.withColumn("technique", F.lit("turn_penalty")).unionByName(plain.withColumn("technique", F.lit("spline"))).unionByName(turned.withColumn("technique", F.lit("turn_penalty_spline")))
+    named = lambda df, *names: df.withColumn("technique", F.explode(F.array(*[F.lit(n) for n in names])))
+    turned = named(graph.turn_paths(sited, ends(spark, grid), ["dataset_slug"], turn_weight), "turn_penalty", "turn_penalty_spline")
+    every = turned.unionByName(named(graph.shortest_paths(combined, ends(spark, grid), ["dataset_slug"]), "spline")).checkpoint()
     points = every.select(*keys, F.posexplode("path").alias("pos", "cell_id")).join(cells.select("cell_id", "cx", "cy"), "cell_id")
     degrees = points.select(*keys, "pos", geo.mercator_lon(F.col("cx")).alias("x"), geo.mercator_lat(F.col("cy")).alias("y"))
     straight = degrees.where("technique = 'turn_penalty'").withColumn("pos", F.col("pos").cast("long"))
@@ -98,15 +107,20 @@ def smoothed_routes(spark: SparkSession, obs: DataFrame, grid: grids.Grid, datas
     return every.select(*keys, "total_cost", F.size("path").cast("long").alias("path_nodes")).join(scored, keys)
 
 
+def route_lines(spark: SparkSession, routes: DataFrame, grid: grids.Grid) -> DataFrame:
+    """Routes (with path) with their lines in lon/lat."""
+    lines = graph.polylines(routes, grid.cells(spark), ["dataset_slug", "route_name", "destination"])
+    lines = lines.withColumn("geometry", geo.project(F.col("geometry"), inverse=True))
+    return routes.drop("path").join(lines, ["dataset_slug", "route_name", "destination"])
+
+
 def route_features(spark: SparkSession, routes: DataFrame, grid: grids.Grid) -> DataFrame:
     """Routes (with path) as GeoJSON features in lon/lat."""
     from airgrid.operators import reports
 
-    lines = graph.polylines(routes, grid.cells(spark), ["dataset_slug", "route_name", "destination"])
-    lines = lines.withColumn("geometry", geo.project(F.col("geometry"), inverse=True))
-    return reports.features(routes.drop("path").join(lines, ["dataset_slug", "route_name", "destination"]))
+    return reports.features(route_lines(spark, routes, grid))
 
 
 def ordered(routes: DataFrame) -> DataFrame:
-    """Routes with their place in the configured order."""
-    return routes.withColumn("place", F.row_number().over(Window.orderBy("dataset_slug", "route_name", "destination")))
+    """Routes by destination and date, as a report lists them."""
+    return routes.orderBy("destination", "dataset_slug", "route_name")
