@@ -38,5 +38,108 @@ def feature_collection(features: DataFrame) -> DataFrame:
 
 def page(title: str, payload: dict) -> str:
     """A self-contained page that carries its data; rendering is the reader's."""
-    data = json.dumps(payload, default=str).replace("</", "<\\/")
-    return f"<!doctype html><meta charset='utf-8'><title>{html.escape(title)}</title><script type='application/json' id='data'>{data}</script><pre id='out'></pre><script>document.getElementById('out').textContent=document.getElementById('data').textContent</script>"
+    return f"<!doctype html><meta charset='utf-8'><title>{html.escape(title)}</title>{_data(payload)}<pre id='out'></pre><script>document.getElementById('out').textContent=document.getElementById('data').textContent</script>"
+
+
+def _data(payload: dict) -> str:
+    return "<script type='application/json' id='data'>" + json.dumps(payload, default=str).replace("</", "<\\/") + "</script>"
+
+
+#: Draws the layers' lines, points and boxes in lon/lat on an SVG; a box ticks each group of layers, a slider picks the step.
+_MAP = """
+const data = JSON.parse(document.getElementById('data').textContent), svg = document.getElementById('map'), NS = svg.namespaceURI;
+const mercator = ([lon, lat]) => [lon, -Math.log(Math.tan(Math.PI / 4 + lat * Math.PI / 360)) * 180 / Math.PI];
+const all = data.layers.flatMap(l => l.shapes.flatMap(s => s.at.map(mercator)));
+const edge = (k, f) => all.reduce((a, p) => f(a, p[k]), f === Math.min ? 1e9 : -1e9);
+const x0 = edge(0, Math.min), x1 = edge(0, Math.max), y0 = edge(1, Math.min), y1 = edge(1, Math.max), pad = Math.max(x1 - x0, y1 - y0, 1e-6) / 20;
+if (all.length) svg.setAttribute('viewBox', [x0 - pad, y0 - pad, x1 - x0 + 2 * pad, y1 - y0 + 2 * pad].join(' '));
+const hidden = new Set(), slider = document.getElementById('step'), steps = data.steps;
+function draw() {
+  svg.replaceChildren();
+  document.getElementById('now').textContent = steps.length ? steps[slider.value] : '';
+  for (const layer of data.layers) {
+    if (Object.entries(layer.groups).some(([k, v]) => hidden.has(k + '=' + v))) continue;
+    if (layer.step !== null && layer.step !== steps[slider.value]) continue;
+    for (const s of layer.shapes) {
+      const at = s.at.map(mercator), one = at.length === 1, e = document.createElementNS(NS, one ? 'circle' : s.filled ? 'polygon' : 'polyline');
+      if (one) { e.setAttribute('cx', at[0][0]); e.setAttribute('cy', at[0][1]); e.setAttribute('r', (s.size || 1) * pad / 12); }
+      else e.setAttribute('points', at.map(p => p.join(',')).join(' '));
+      e.setAttribute('fill', one || s.filled ? s.color : 'none');
+      e.setAttribute('fill-opacity', s.opacity ?? 0.7);
+      e.setAttribute('stroke', one || s.filled ? 'none' : s.color);
+      e.setAttribute('stroke-width', pad / 10);
+      const name = document.createElementNS(NS, 'title');
+      name.textContent = s.label || layer.label;
+      e.append(name);
+      svg.append(e);
+    }
+  }
+}
+const groups = {};
+for (const l of data.layers) for (const [k, v] of Object.entries(l.groups)) (groups[k] ??= new Map()).set(v, l.color);
+for (const [k, values] of Object.entries(groups)) {
+  const set = document.createElement('fieldset'), legend = document.createElement('legend');
+  legend.textContent = k;
+  set.append(legend);
+  for (const [v, color] of values) {
+    const label = document.createElement('label'), box = document.createElement('input'), dot = document.createElement('i');
+    box.type = 'checkbox'; box.checked = true;
+    box.onchange = () => { box.checked ? hidden.delete(k + '=' + v) : hidden.add(k + '=' + v); draw(); };
+    dot.style.background = color || 'transparent';
+    label.append(box, dot, v);
+    set.append(label);
+  }
+  document.getElementById('groups').append(set);
+}
+slider.max = Math.max(0, steps.length - 1);
+slider.hidden = !steps.length;
+slider.oninput = draw;
+draw();
+"""
+
+
+def map_page(title: str, layers: list[dict]) -> str:
+    """A self-contained page with a map: layers are {label, groups: {kind: value}, color, step or None, shapes: [{at: [[lon, lat], ...],
+    color, label, filled, opacity, size}]}. Every kind of group (date, route, ...) gets boxes to tick, steps (horizons) a slider. For
+    results of report size, which it carries whole."""
+    steps = list(dict.fromkeys(layer["step"] for layer in layers if layer.get("step") is not None))
+    whole = [{"label": "", "groups": {}, "color": None, "step": None} | layer for layer in layers]
+    style = "body{margin:0;display:flex;font:14px sans-serif}#side{width:16em;padding:1em}svg{flex:1;height:100vh;background:#f4f4f0}label{display:block}i{display:inline-block;width:.8em;height:.8em;margin:0 .4em}"
+    body = "<div id='side'><h1></h1><input type='range' id='step' min='0' value='0'><span id='now'></span><div id='groups'></div></div><svg id='map'></svg>".replace("<h1></h1>", f"<h1>{html.escape(title)}</h1>")
+    return f"<!doctype html><meta charset='utf-8'><title>{html.escape(title)}</title><style>{style}</style>{body}{_data({'layers': whole, 'steps': steps})}<script>{_MAP}</script>"
+
+
+def route_layers(routes: DataFrame, limit: int = 100_000) -> list[dict]:
+    """Layers of routes (dataset_slug, route_name, destination, geometry in lon/lat, maybe color and total_cost), one each; more than
+    limit is an error, a page is no place for them."""
+    rows = routes.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} routes for a page")
+    out = []
+    for r in rows:
+        have = r.asDict()
+        color = have.get("color") or "#1f77b4"
+        label = f"{r['route_name']} {r['dataset_slug']} {r['destination']}" + (f": {have['total_cost']:.3f}" if have.get("total_cost") is not None else "")
+        out.append({"label": label, "groups": {"date": r["dataset_slug"], "route": r["route_name"], "destination": r["destination"]}, "color": color, "step": None, "shapes": [{"at": [[p["x"], p["y"]] for p in r["geometry"]], "color": color}]})
+    return out
+
+
+def heat_layers(bins: DataFrame, limit: int = 100_000) -> list[dict]:
+    """Layers of points (hours, lat, lon, intensity or count), one per horizon."""
+    rows = bins.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} points for a page")
+    by: dict = {}
+    for r in rows:
+        by.setdefault(r["hours"], []).append({"at": [[r["lon"], r["lat"]]], "color": "#d7191c", "opacity": float(r.asDict().get("intensity") or 0.7), "label": str(r["count"])})
+    return [{"label": f"{h} h", "groups": {}, "color": "#d7191c", "step": f"{h} h", "shapes": by[h]} for h in sorted(by)]
+
+
+def write_text(spark, path: str, text: str) -> None:
+    """A text file by Hadoop's file system, so that a path may lie in any store; an existing one is an error."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, False)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
