@@ -202,6 +202,21 @@ def flatten_costs(spark, d):
     return rounded(flat.drop("altitude_mid_ft"), "lat", "lon")
 
 
+@query(f"WITH {OBS}, {PLACED}, {CELLS}, {COUNTED} SELECT traffic_density_type, count(*) AS n FROM (SELECT CASE WHEN traffic / (greatest(area_m2, 1e-9) / 1e6) > 0 THEN 'air_traffic' ELSE 'none' END AS traffic_density_type FROM counted) GROUP BY 1")
+def traffic_labels(spark, d):
+    """The two-valued traffic label of every cell, counted."""
+    out = traffic.labelled(traffic.densities(traffic.counts(observed(spark, d), G.cells(spark), G)))
+    return out.groupBy("traffic_density_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {OBS}, {HORIZON}, {BINS} SELECT hours, row_number() OVER (PARTITION BY hours ORDER BY n DESC, lat_i, lon_i, alt_i) AS place, lat_i, lon_i, alt_i, n AS "count" FROM c WHERE n >= 2""")
+def bins_by_count(spark, d):
+    """Bins of each horizon from the fullest on, with their place."""
+    bins = tracks.density3d(tracks.with_altitude(observed(spark, d)), HORIZON_DAYS, DAY, step_deg=0.05)
+    place = F.row_number().over(Window.partitionBy("hours").orderBy(F.desc("count"), "lat_i", "lon_i", "alt_i"))
+    return tracks.by_count(bins.withColumn("place", place)).select("hours", F.col("place").cast("long").alias("place"), "lat_i", "lon_i", "alt_i", "count")
+
+
 # ---- trajectories ----------------------------------------------------------------------------------------------------
 
 
@@ -248,6 +263,14 @@ def origins(spark, d):
     return o.select("hours", "icao24", F.round(F.col("position")[1], 6).alias("lat"), F.round("altitude_ft", 4).alias("altitude_ft"), "radius_m")
 
 
+@query(f"""WITH {OBS} SELECT event_id, round(lat + (baroaltitude * 0.3048 + 250) / 111320.0, 9) AS label_lat, lon AS label_lon, -87.6278 AS to_lon, 41.882 AS to_lat FROM obs""")
+def labels_and_lines(spark, d):
+    """Where a circle's label stands, and the straight line from a point to a destination."""
+    lat, lon = geo.ring_label(F.col("lat"), F.col("lon"), F.col("baroaltitude") * 0.3048)
+    line = geo.straight_line(F.col("lon"), F.col("lat"), -87.6278, 41.882)
+    return observed(spark, d).select("event_id", F.round(lat, 9).alias("label_lat"), lon.alias("label_lon"), line[1]["x"].alias("to_lon"), line[1]["y"].alias("to_lat"))
+
+
 # ---- population, risk ------------------------------------------------------------------------------------------------
 
 PEOPLE = """g AS (SELECT c_custkey::VARCHAR AS GEOID, ((c_custkey % 13) * 250000)::BIGINT AS ALAND FROM customer), p AS (SELECT '1500000US' || c_custkey AS GEO_ID, CASE WHEN c_custkey % 17 = 0 THEN '1d' ELSE (c_custkey % 5000)::VARCHAR END AS B01003_001E FROM customer WHERE c_custkey % 11 <> 0 UNION ALL SELECT 'Geography', 'Total'),
@@ -273,9 +296,15 @@ def quantile_risk(spark, d):
     return risk.quantile_risk(_population(spark, d)).select("GEOID", "density_risk")
 
 
-@query(f"WITH {PEOPLE} SELECT count(*) AS n_rows, count(*) FILTER (WHERE population IS NULL) AS n_missing, count(*) FILTER (WHERE population <> 0) AS n_nonzero, min(population) AS min_value, max(population) AS max_value, round(avg(population), 6) AS mean_value FROM dens")
+@query(f"""WITH {PEOPLE} SELECT count(*) AS n_rows, count(*) FILTER (WHERE population IS NULL) AS n_missing, count(*) FILTER (WHERE population <> 0) AS n_nonzero, min(population) AS min_value, max(population) AS max_value, round(avg(population), 6) AS mean_value,
+round(stddev_samp(population), 6) AS spread, round(quantile_cont(population, 0.25), 6) AS quartile_1, round(quantile_cont(population, 0.5), 6) AS median, round(quantile_cont(population, 0.75), 6) AS quartile_3 FROM dens""")
 def population_profile(spark, d):
-    return rounded(risk.profile(_population(spark, d), "population"), "mean_value")
+    return rounded(risk.profile(_population(spark, d), "population"), "mean_value", "spread", "quartile_1", "median", "quartile_3")
+
+
+@query(f"WITH {PEOPLE}, q AS (SELECT quantile_cont(density_p_km2, 0.7) AS a, quantile_cont(density_p_km2, 0.9) AS b FROM dens) SELECT CASE WHEN density_p_km2 >= b THEN 'high' WHEN density_p_km2 >= a THEN 'medium' ELSE 'low' END AS value, count(*) AS n FROM dens, q GROUP BY 1")
+def risk_value_counts(spark, d):
+    return risk.value_counts(risk.quantile_risk(_population(spark, d)), "density_risk")
 
 
 @query(f"WITH {CELLS} SELECT cell_id, ix, iy, round(xmin, 4) AS xmin, round(ymax, 4) AS ymax, round(cx, 4) AS cx, round(cy, 4) AS cy, round(area_m2, 3) AS area_m2 FROM cells")
@@ -303,11 +332,40 @@ def radial_shelves(spark, d):
 
 NAMED = airspace.rings()
 VALUES = lambda rows: ", ".join("('" + r[0] + "', " + ", ".join(f"{v!r}::DOUBLE" for v in r[1:]) + ")" for r in rows)
-RING_ROWS, EDGE_ROWS = airspace.segments_of(NAMED), [(r, *s) for r in ("area_b", "shelf", "lewis") for s in airspace.boundary(r, NAMED)]
-WINDING = f"""w AS (SELECT c.cell_id, s.name, sum(CASE WHEN y1 <= cy THEN 1 ELSE -1 END) AS w FROM cells c JOIN (VALUES {VALUES(RING_ROWS)}) s(name, x1, y1, x2, y2)
+EDGE_ROWS = [(r, *s) for r in ("area_b", "shelf", "lewis") for s in airspace.boundary(r, NAMED)]
+
+
+def _ring_sql() -> str:
+    """The rings' segments derived in SQL from the published points, arcs, circles and sectors alone."""
+    east = f"(SELECT {K.MDW[1]!r} + degrees(sqrt(power(10.0 * {geo.NM_TO_M}, 2) - power(radians({K.SHORE_NORTH[0]!r} - {K.MDW[0]!r}) * {geo.ARC_R}, 2)) / (cos(radians({K.MDW[0]!r})) * {geo.ARC_R})))"
+    lake = [K.SHORE_NORTH, (K.SHORE_NORTH[0], east), ("arc", K.MDW, 10.0, "cw", K.LAKE_STEPS), K.SHORE_SOUTH, K.SHORE_SOUTH]
+    points, arcs = [], []
+    for name, parts in (("area_a", K.AREA_A), ("area_b", K.AREA_B), ("land", K.LAND_SHELF), ("lake", lake)):
+        for k, part in enumerate(parts):
+            if part[0] == "arc":
+                _, c, nm, sense, steps = part
+                (alat, alon), (blat, blon) = parts[k - 1], parts[k + 1]
+                arcs.append(f"('{name}', {k}, {c[0]!r}::DOUBLE, {c[1]!r}::DOUBLE, {nm}::DOUBLE, {alat}::DOUBLE, {alon}::DOUBLE, {blat}::DOUBLE, {blon}::DOUBLE, {1 if sense == 'cw' else -1}, {steps})")
+            elif k == 0 or parts[k - 1][0] != "arc":
+                points.append(f"('{name}', {k}::DOUBLE, {part[0]}::DOUBLE, {part[1]}::DOUBLE)")
+    first, last, steps = K.WEDGE
+    turns = [("core", K.MDW, 5.0, 0.0, 360.0, K.CORE_STEPS, K.CORE_STEPS), ("lewis", K.LEWIS, K.LEWIS_NM, 0.0, 360.0, K.LEWIS_STEPS, K.LEWIS_STEPS), ("wedge", K.LEWIS, K.LEWIS_NM, first, last + (360.0 if last < first else 0.0), steps, steps + 1)]
+    points.append(f"('wedge', -1::DOUBLE, {K.LEWIS[0]!r}::DOUBLE, {K.LEWIS[1]!r}::DOUBLE)")
+    swept = ", ".join(f"('{n}', 0, {c[0]!r}::DOUBLE, {c[1]!r}::DOUBLE, {nm}::DOUBLE, {a}::DOUBLE, {b - a}::DOUBLE, {m}, 0, {upto})" for n, c, nm, a, b, m, upto in turns)
+    bearing = lambda p: f"degrees(atan2(sin(radians({p}lon - clon)) * cos(radians({p}lat)), cos(radians(clat)) * sin(radians({p}lat)) - sin(radians(clat)) * cos(radians({p}lat)) * cos(radians({p}lon - clon))))"
+    return f"""given AS (SELECT * FROM (VALUES {", ".join(points)}) v(name, seq, lat, lon)), arcs AS (SELECT * FROM (VALUES {", ".join(arcs)}) v(name, seq, clat, clon, nm, alat, alon, blat, blon, sense, steps)),
+turns AS (SELECT name, seq, clat, clon, nm, {bearing("a")} AS a, sense * ((sense * ({bearing("b")} - {bearing("a")}) + 720.0) % 360.0) AS turn, steps, 1 AS k0, steps + 1 AS k1 FROM arcs UNION ALL SELECT * FROM (VALUES {swept}) v(name, seq, clat, clon, nm, a, turn, steps, k0, k1)),
+steps AS (SELECT name, seq + u.k / 10000.0 AS seq, radians(clat) AS c, clon, nm * {geo.NM_TO_M} / {geo.ARC_R} AS r, radians(a + turn * u.k / steps) AS t FROM turns, LATERAL (SELECT unnest(range(k0, k1)) AS k) u),
+reached AS (SELECT *, asin(sin(c) * cos(r) + cos(c) * sin(r) * cos(t)) AS q FROM steps),
+ringed AS (SELECT name, seq::DOUBLE AS seq, lat, lon FROM given UNION ALL SELECT name, seq::DOUBLE, degrees(q), clon + degrees(atan2(sin(t) * sin(r) * cos(c), cos(r) - sin(c) * sin(q))) FROM reached),
+flat AS (SELECT name, seq, {MX} AS x, {MY} AS y FROM ringed),
+segs AS (SELECT name, x AS x1, y AS y1, coalesce(lead(x) OVER w, first_value(x) OVER w) AS x2, coalesce(lead(y) OVER w, first_value(y) OVER w) AS y2 FROM flat WINDOW w AS (PARTITION BY name ORDER BY seq)),
+senses AS (SELECT name, sign(sum(x1 * y2 - x2 * y1)) AS s FROM segs GROUP BY 1)"""
+
+
+WINDING = f"""{_ring_sql()}, w AS (SELECT c.cell_id, s.name, sum(CASE WHEN y1 <= cy THEN 1 ELSE -1 END) AS w FROM cells c JOIN segs s
 ON ((y1 <= cy AND y2 > cy) OR (y2 <= cy AND y1 > cy)) AND x1 + (cy - y1) * (x2 - x1) / (y2 - y1) > cx GROUP BY 1, 2)"""
-SIGN = ", ".join(f"('{n}', {airspace._sense(r)})" for n, r in NAMED.items())
-FLAGS = f"""hit AS (SELECT w.cell_id, w.name FROM w JOIN (VALUES {SIGN}) g(name, s) ON w.name = g.name WHERE w.w * g.s > 0),
+FLAGS = f"""hit AS (SELECT w.cell_id, w.name FROM w JOIN senses g ON w.name = g.name WHERE w.w * g.s > 0),
 ins AS (SELECT c.*, {", ".join(f"c.cell_id IN (SELECT cell_id FROM hit WHERE name = '{n}') AS h_{n}" for n in NAMED)} FROM cells c),
 flagged AS (SELECT *, h_area_a AS in_area_a, h_area_b AS in_area_b, h_core AND NOT (h_area_a OR h_area_b) AS in_core, (h_land OR h_lake) AND NOT (h_area_a OR h_area_b) AS in_shelf, h_lewis AND NOT h_wedge AS in_lewis FROM ins)"""
 NEAR = f"""dist AS (SELECT cell_id, name, min(sqrt(power(cx - x1 - t * (x2 - x1), 2) + power(cy - y1 - t * (y2 - y1), 2))) AS d FROM (SELECT c.cell_id, cx, cy, s.*, greatest(0.0, least(1.0, ((cx - x1) * (x2 - x1) + (cy - y1) * (y2 - y1)) / (power(x2 - x1, 2) + power(y2 - y1, 2)))) AS t
@@ -339,6 +397,28 @@ CLASSED = """k AS (SELECT *, least(120.0, greatest(0.0, density_p_km2 / 10.0)) A
 classed AS (SELECT *, CASE WHEN city_risk > 90 THEN 'High' WHEN city_risk > 40 THEN 'Medium' ELSE 'Low' END AS pop_class, CASE WHEN combined > 70.0000000001 THEN 'High' WHEN combined > 30 THEN 'Medium' ELSE 'Low' END AS air_class, city_risk * 0.9 + combined * 1.4 AS risk_cost FROM k)"""
 
 
+BLOCKS = [(gx, gy) for gx in range(-9830, -9740, 9) for gy in range(5090, 5170, 9)]
+
+
+@query(f"WITH {CELLS} SELECT cell_id, gx || '/' || gy AS polygon_id FROM cells, (VALUES {', '.join(map(str, BLOCKS))}) b(gx, gy) WHERE abs(cx - gx * 1000.0) + abs(cy - gy * 1000.0) < 4100")
+def cells_in_polygons(spark, d):
+    """The block group that holds a cell's centre; diamonds stand for block groups, so the SQL needs no polygons."""
+    corner = lambda dx, dy: F.struct((F.col("gx") * 1000.0 + dx).alias("x"), (F.col("gy") * 1000.0 + dy).alias("y"))
+    blocks = spark.createDataFrame(BLOCKS, "gx long, gy long").select(F.concat_ws("/", "gx", "gy").alias("polygon_id"), F.array(corner(4100, 0), corner(0, 4100), corner(-4100, 0), corner(0, -4100)).alias("ring"))
+    return routes.cells_in_polygons(G.cells(spark), blocks)
+
+
+COARSE = grids.Grid(cell=2000.0)
+QX, QY = COARSE.shape
+
+
+@query(f"WITH {CELLS}, m AS (SELECT cell_id, least(floor((cx - ({X0!r}::DOUBLE)) / 2000.0::DOUBLE), {QX - 1})::BIGINT * {QY} + least(floor((cy - ({Y0!r}::DOUBLE)) / 2000.0::DOUBLE), {QY - 1})::BIGINT AS held FROM cells) SELECT cell_id, CASE WHEN held % 3 <> 0 THEN (held * 17 % 500)::DOUBLE END AS density_p_km2 FROM m")
+def values_of_prior_grid(spark, d):
+    """Densities taken over from an earlier grid of cells of another size."""
+    prior = COARSE.cells(spark).where("cell_id % 3 <> 0").select("cell_id", F.pmod(F.col("cell_id") * 17, F.lit(500)).cast("double").alias("density_p_km2"))
+    return grids.from_other(G.cells(spark), COARSE, prior, ["density_p_km2"]).select("cell_id", "density_p_km2")
+
+
 def _risk_cells(spark):
     return routes.risk_cells(spark, G, F.pmod(F.col("cell_id") * 37, F.lit(1500)).cast("double"))
 
@@ -424,18 +504,12 @@ def edge_weights(spark, d):
     return rounded(_weighted(spark).select("src", "dst", "route_name", "weight"), "weight")
 
 
-@query(f"""WITH p AS (SELECT c_custkey, 41.4::DOUBLE + 0.9::DOUBLE * ((c_custkey * 7919) % 997)::DOUBLE / 997.0::DOUBLE AS lat, -88.5::DOUBLE + 1.1::DOUBLE * ((c_custkey * 104729) % 991)::DOUBLE / 991.0::DOUBLE AS lon FROM customer WHERE c_custkey <= 200), {CELLS},
+@query(f"""WITH p AS (SELECT c_custkey, 41.4::DOUBLE + 0.9::DOUBLE * ((c_custkey * 7919) % 997)::DOUBLE / 997.0::DOUBLE AS lat, -88.5::DOUBLE + 1.1::DOUBLE * ((c_custkey * 104729) % 991)::DOUBLE / 991.0::DOUBLE AS lon FROM customer), {CELLS},
 m AS (SELECT *, {MX} AS x, {MY} AS y FROM p), best AS (SELECT c_custkey, arg_min(cell_id, (sqrt(power(cx - x, 2) + power(cy - y, 2)), cell_id)) AS near FROM m, cells GROUP BY 1)
 SELECT m.c_custkey, CASE WHEN lon BETWEEN {K.WEST} AND {K.EAST} AND lat BETWEEN {K.SOUTH} AND {K.NORTH} THEN least(floor((x - ({X0!r}::DOUBLE)) / 500), {NX - 1})::BIGINT * {NY} + least(floor((y - ({Y0!r}::DOUBLE)) / 500), {NY - 1})::BIGINT ELSE near END AS cell_id,
 lon BETWEEN {K.WEST} AND {K.EAST} AND lat BETWEEN {K.SOUTH} AND {K.NORTH} AS inside FROM m JOIN best USING (c_custkey)""")
 def nearest_cell(spark, d):
-    """Customers up to key 200 stand for endpoints: the brute-force oracle compares each with every cell."""
-    return _located(spark, table(spark, d, "customer").where("c_custkey <= 200"))
-
-
-@query()
-def nearest_cell_all(spark, d):
-    """nearest_cell over all customers; the SQL of nearest_cell binds that one to its first keys."""
+    """Customers stand for endpoints, some of them outside the grid; the SQL compares each with every cell."""
     return _located(spark, table(spark, d, "customer"))
 
 
@@ -513,18 +587,12 @@ def polylines(spark, d):
 
 # ---- smoothing -------------------------------------------------------------------------------------------------------
 
-LINES = f"pts AS (SELECT icao24 AS line, row_number() OVER (PARTITION BY icao24 ORDER BY time, event_id) - 1 AS pos, count(*) OVER (PARTITION BY icao24) AS n, {MX} AS x, {MY} AS y FROM obs WHERE event_id % 4 = 0)"
+LINES = f"pts AS (SELECT icao24 AS line, row_number() OVER (PARTITION BY icao24 ORDER BY time, event_id) - 1 AS pos, count(*) OVER (PARTITION BY icao24) AS n, {MX} AS x, {MY} AS y FROM obs)"
 
 
-def _lines(spark, d, whole=False):
-    o = observed(spark, d) if whole else observed(spark, d).where("event_id % 4 = 0")
+def _lines(spark, d):
     w = Window.partitionBy("icao24").orderBy("time", "event_id")
-    return o.select(F.col("icao24").alias("line"), (F.row_number().over(w) - 1).cast("long").alias("pos"), geo.mercator_x(F.col("lon")).alias("x"), geo.mercator_y(F.col("lat")).alias("y"))
-
-
-def _whole(name: str) -> str:
-    """The SQL of a query over lines, over every point of them."""
-    return ORACLE_SQL[name].replace(" WHERE event_id % 4 = 0", "")
+    return observed(spark, d).select(F.col("icao24").alias("line"), (F.row_number().over(w) - 1).cast("long").alias("pos"), geo.mercator_x(F.col("lon")).alias("x"), geo.mercator_y(F.col("lat")).alias("y"))
 
 
 def _spline(c: str) -> str:
@@ -538,22 +606,12 @@ def catmull_rom(spark, d):
     return rounded(smoothing.catmull_rom(_lines(spark, d), ["line"]), "x", "y", digits=3)
 
 
-@query(_whole("catmull_rom"))
-def catmull_rom_all(spark, d):
-    return rounded(smoothing.catmull_rom(_lines(spark, d, whole=True), ["line"]), "x", "y", digits=3)
-
-
 @query(f"""WITH {OBS}, {LINES}, w AS (SELECT line, pos, x, y, lag(x) OVER q AS px, lag(y) OVER q AS py, lead(x) OVER q AS nx, lead(y) OVER q AS ny FROM pts WINDOW q AS (PARTITION BY line ORDER BY pos))
 SELECT line, pos, round(1.5 * power(degrees(acos(greatest(-1.0, least(1.0, ((x - px) * (nx - x) + (y - py) * (ny - y)) / (sqrt(power(x - px, 2) + power(y - py, 2)) * sqrt(power(nx - x, 2) + power(ny - y, 2))))))) / 180, 2), 6) AS turn_cost FROM w WHERE px IS NOT NULL AND nx IS NOT NULL""")
 def turn_penalty(spark, d):
     return _turns(_lines(spark, d))
 
 
-@query(_whole("turn_penalty"))
-def turn_penalty_all(spark, d):
-    return _turns(_lines(spark, d, whole=True))
-
-
 def _turns(lines):
     w = Window.partitionBy("line").orderBy("pos")
     p = lines.withColumns({f"{c}{k}": F.lag(c, -k).over(w) for c in "xy" for k in (-1, 1)}).where(F.col("x-1").isNotNull() & F.col("x1").isNotNull())
@@ -568,11 +626,6 @@ def line_sampling(spark, d):
     return rounded(smoothing.sample_lines(_lines(spark, d), ["line"], spacing=7500.0).withColumnRenamed("along", "d"), "d", "x", "y", digits=3)
 
 
-@query(_whole("line_sampling"))
-def line_sampling_all(spark, d):
-    return rounded(smoothing.sample_lines(_lines(spark, d, whole=True), ["line"], spacing=7500.0).withColumnRenamed("along", "d"), "d", "x", "y", digits=3)
-
-
 @query(f"WITH {OBS}, {PLACED}, c AS (SELECT event_id, icao24, cell_id // ({NY} * 40) AS zone, lag(cell_id // ({NY} * 40)) OVER (PARTITION BY icao24 ORDER BY time, event_id) AS before FROM placed) SELECT event_id, icao24, zone FROM c WHERE before IS NULL OR before <> zone")
 def consecutive_cells(spark, d):
     o = observed(spark, d)
@@ -623,15 +676,9 @@ def viewer_colors(spark, d):
     return observed(spark, d).select("event_id", S.class_color(k).alias("layer_color"), S.cost_color(e % 20).alias("cost_color"), shown.alias("shown"))
 
 
-@query(f"WITH {CELLS} SELECT cell_id, round((3 * xmin + 2 * xmax) / 5, 4) AS x, round((3 * ymin + 2 * ymax) / 5, 4) AS y FROM cells WHERE cell_id % 10 = 0")
+@query(f"WITH {CELLS} SELECT cell_id, round((3 * xmin + 2 * xmax) / 5, 4) AS x, round((3 * ymin + 2 * ymax) / 5, 4) AS y FROM cells")
 def ring_centres(spark, d):
-    """Viewer centres of every tenth cell: the mean of its ring, the closing vertex counted again."""
-    return _centres(G.cells(spark).where("cell_id % 10 = 0"))
-
-
-@query(ORACLE_SQL["ring_centres"].replace(" WHERE cell_id % 10 = 0", ""))
-def ring_centres_all(spark, d):
-    """ring_centres of every cell."""
+    """Viewer centres of cells: the mean of a cell's ring, the closing vertex counted again."""
     return _centres(G.cells(spark))
 
 

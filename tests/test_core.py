@@ -238,19 +238,143 @@ def test_streams(spark, tmp_path):
     from airgrid.streaming import traffic_stream
 
     src = tmp_path / "in"
-    d = spark.createDataFrame([("a", 0, 41.71, -87.99), ("a", 20, 41.712, -87.99), ("b", 5, 41.0, -87.99)], "icao24 string, time long, lat double, lon double")
+    d = spark.createDataFrame([("a", 1000, 41.71, -87.99, 100.0), ("a", 1020, 41.712, -87.99, 300.0), ("b", 1005, 41.0, -87.99, 0.0)], "icao24 string, time long, lat double, lon double, alt double")
     d.coalesce(1).write.parquet(str(src))
     stream = spark.readStream.schema(d.schema).parquet(str(src))
-    for name, df, mode in (("counts", traffic_stream.cell_counts(stream, SMALL), "complete"), ("filled", traffic_stream.fill_gaps(stream, 5, 180), "append")):
+    filled = traffic_stream.fill_gaps(stream, 5, 180, columns=("lat", "lon", "alt"))
+    for name, df, mode in (("counts", traffic_stream.cell_counts(stream, SMALL), "complete"), ("filled", filled, "append")):
         q = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
         q.awaitTermination(120)
         q.stop()
     assert spark.sql("SELECT sum(traffic) AS n FROM counts").first()["n"] == 2
-    assert sorted((r["icao24"], r["time"]) for r in spark.sql("SELECT * FROM filled").collect()) == [("a", 0), ("a", 5), ("a", 10), ("a", 15), ("a", 20), ("b", 5)]
+    assert sorted((r["icao24"], r["time"], r["alt"]) for r in spark.sql("SELECT * FROM filled").collect()) == [("a", 1000, 100.0), ("a", 1005, 150.0), ("a", 1010, 200.0), ("a", 1015, 250.0), ("a", 1020, 300.0), ("b", 1005, 0.0)]
     late = traffic_stream.windowed_counts(d.withColumn("ts", F.timestamp_seconds("time")), SMALL)
     assert late.agg(F.sum("traffic")).first()[0] == 2
 
 
+def test_stream_state_expires(spark, tmp_path):
+    """Rows of one aircraft over micro-batches; its state goes once the watermark has passed the longest gap."""
+    from airgrid.streaming import traffic_stream
+
+    src = tmp_path / "in"
+    batches = [[("a", 1000, 0.0, 0.0), ("c", 1000, 0.0, 0.0)], [("a", 1020, 2.0, 0.0)], [("b", 100_000, 0.0, 0.0)], [("b", 100_010, 0.0, 0.0)]]
+    schema = "icao24 string, time long, lat double, lon double"
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(src))
+        q = traffic_stream.fill_gaps(spark.readStream.schema(schema).parquet(str(src)), 5, 180, late="1 second").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        held = sum(o.numRowsTotal for o in q.lastProgress.stateOperators) if q.lastProgress else None
+        q.stop()
+        assert k < 3 or held in (1, None)
+    got = sorted((r["icao24"], r["time"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [("a", 1000), ("a", 1005), ("a", 1010), ("a", 1015), ("a", 1020), ("b", 100_000), ("b", 100_005), ("b", 100_010), ("c", 1000)]
+
+
+def test_quantiles_equal_sorted_values(spark):
+    """Of small brackets and open ones, of groups, ties, one value and none."""
+    import numpy as np
+
+    from airgrid.operators.quantiles import exact_quantiles
+
+    rng = np.random.default_rng(0)
+    rows = [(g, float(v)) for g, n in (("a", 3000), ("b", 1), ("c", 500)) for v in np.round(rng.exponential(10, n), 1 if g == "c" else 6)] + [(None, 4.0), (None, 6.0), ("d", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(7)
+    for shares in ([0.5], [0.0, 0.7, 1.0], [0.95, 0.25]):
+        got = {r["g0"]: [r[f"q{k}"] for k in range(len(shares))] for r in exact_quantiles(df, F.col("v"), shares, ["g"], accuracy=50).collect()}
+        assert got.keys() == {"a", "b", "c", None}
+        for g, q in got.items():
+            assert q == pytest.approx(np.quantile([v for k, v in rows if k == g], shares).tolist())
+    whole = exact_quantiles(df, F.col("v"), [0.9], accuracy=200).first()["q0"]
+    assert whole == pytest.approx(np.quantile([v for _, v in rows if v is not None], 0.9))
+    assert [r["q0"] for r in exact_quantiles(df.where("v < 0"), F.col("v"), [0.9]).collect()] == [None]
+
+
+def test_inner_names_do_not_clash(spark):
+    from airgrid.operators import traffic
+
+    df = spark.createDataFrame([("a", 1.0, 5, 7), ("b", 3.0, 6, 8)], "k string, v double, scale int, Scale_Top int")
+    assert normalize.normalize(df, "v", "out").columns == ["k", "v", "scale", "Scale_Top", "out"]
+    assert {r["k"]: r["out"] for r in normalize.normalize(df, "v", "out", percentile=100).collect()} == pytest.approx({"a": 1 / 3, "b": 1.0})
+    assert normalize.normalize(df.withColumn("k", F.lit(None).cast("string")), "v", "out", by=["k"]).count() == 2
+    obs = spark.createDataFrame([(0, 1, "x"), (7200, 2, "y")], "time long, t0 int, T0_ string")
+    assert sorted(traffic.anchored(obs, (1, 3)).columns) == ["T0_", "hours", "t0", "time"] and traffic.anchored(obs, (1, 3)).count() == 3
+
+
+def test_searches_agree(spark):
+    """With and without a bound, for every preset, against the plain search; both its bounds and the empty cases."""
+    import numpy as np
+
+    g = SMALL
+    c = g.cells(spark)
+    nodes = c.select("cell_id", *[(F.pmod(F.col("cell_id") * k, F.lit(m)) / m).alias(t) for t, k, m in (("population", 13, 101), ("airspace", 7, 97), ("traffic", 3, 89))])
+    terms = graph.edge_terms(edges(c), nodes).withColumn("k", F.lit("x"))
+    ny = g.shape[1]
+    ends = spark.createDataFrame([(0, 3 * ny + 1, "p"), (0, 4 * ny + 2, "q"), (0, 10_000, "nowhere")], "start long, goal long, destination string")
+    presets = graph.presets(spark)
+    key = lambda df: {(r["route_name"], r["destination"]): (round(r["total_cost"], 9), r["path"][0], r["path"][-1]) for r in df.collect()}
+    with_bound, without = key(graph.preset_paths(terms, presets, ends, ["k"], g.centres)), key(graph.preset_paths(terms, presets, ends, ["k"]))
+    plain = key(graph.shortest_paths(graph.weigh(terms, presets), ends, ["k", "route_name"]))
+    assert with_bound == without == plain and len(plain) == 2 * presets.count()
+    x, y = g.centres(np.arange(g.shape[0] * ny))
+    want = {r["cell_id"]: (r["cx"], r["cy"]) for r in c.collect()}
+    assert all((a, b) == pytest.approx(want[k]) for k, (a, b) in enumerate(zip(x, y, strict=True)))
+    bound = graph.heuristic(x, y, [5], 0.6, 707.1)
+    assert bound[5] == 0 and bound.max() <= 0.6 * max(math.hypot(a - x[5], b - y[5]) for a, b in zip(x, y, strict=True)) / 707.1
+    assert graph.heuristic(x, y, [5], 0.0, 707.1) is None
+
+
+def test_values_of_another_grid(spark):
+    from airgrid.operators.grid import from_other
+
+    fine, coarse = Grid(cell=2000.0), Grid(cell=5000.0)
+    values = coarse.cells(spark).select("cell_id", F.col("cell_id").cast("double").alias("density_p_km2"))
+    out = from_other(fine.cells(spark), coarse, values.where("cell_id % 2 = 0"), ["density_p_km2"])
+    assert out.count() == fine.shape[0] * fine.shape[1]
+    x0, y0, *_ = fine.corners
+    for r in out.collect():
+        held = int((r["cx"] - x0) // 5000) * coarse.shape[1] + int((r["cy"] - y0) // 5000)
+        assert r["density_p_km2"] == (held if held % 2 == 0 else None)
+
+
+def test_pages(spark):
+    import json
+    import re
+
+    rows = spark.createDataFrame([("2026-03-07", "combined", "ohare", 1.5, [(1.0, 2.0), (3.0, 4.0)])], "dataset_slug string, route_name string, destination string, total_cost double, geometry array<struct<x: double, y: double>>")
+    heat = spark.createDataFrame([(1, 41.0, -87.0, 3, 0.5), (3, 41.0, -87.0, 6, 1.0)], "hours int, lat double, lon double, count long, intensity double")
+    text = writers.map_page("A </script> page", [*writers.route_layers(rows), *writers.heat_layers(heat)])
+    data = json.loads(re.search(r"id='data'>(.*?)</script>", text, re.S)[1])
+    assert data["steps"] == ["1 h", "3 h"] and [layer["step"] for layer in data["layers"]] == [None, "1 h", "3 h"]
+    assert data["layers"][0]["groups"] == {"date": "2026-03-07", "route": "combined", "destination": "ohare"} and data["layers"][0]["shapes"][0]["at"] == [[1.0, 2.0], [3.0, 4.0]]
+    assert "http" not in text.replace("http-equiv", "") and "A </script>" not in text
+    with pytest.raises(ValueError, match="more than"):
+        writers.route_layers(rows, limit=0)
+
+
+def test_jobs(spark, tmp_path, monkeypatch):
+    """Each job from its command line on a small export."""
+    from airgrid import jobs
+
+    rows = [(t * 60, 41.6 + 0.001 * t, -87.9 + 0.002 * t, 1000.0 + t, f"a{k}") for t in range(30) for k in range(3)]
+    obs = spark.createDataFrame(rows, "time long, lat double, lon double, baroaltitude double, icao24 string")
+    obs.coalesce(1).write.option("header", True).csv(str(tmp_path / "in"))
+    dates = ["2026-03-07", "2026-03-09"]
+    for date in dates:
+        obs.coalesce(1).write.option("header", True).csv(str(tmp_path / f"opensky_{date}"))
+    for name, more in (("routes", [str(tmp_path / f"opensky_{date}") for date in dates] + ["--cell", "5000"]), ("density", [str(tmp_path / "in")]), ("heatmap", [str(tmp_path / "in"), "--cell", "5000"])):
+        jobs.main([name, "--out", str(tmp_path / name), "--traffic", *more])
+    with pytest.raises(ValueError, match="no date"):
+        jobs.main(["routes", "--out", "x", "--traffic", str(tmp_path / "in")])
+    assert "combined" in (tmp_path / "routes" / "routes.html").read_text() and "hours" not in (tmp_path / "heatmap" / "heat.html").read_text()[:50]
+    assert spark.read.parquet(str(tmp_path / "routes/routes")).count() == len(dates) * len(K.PRESETS) * len(K.DESTINATIONS)
+    assert spark.read.option("header", True).csv(str(tmp_path / "routes/costs")).count() == len(dates) * len(K.DESTINATIONS)
+    assert spark.read.option("header", True).csv(str(tmp_path / "density/costs")).count() > 0
+    vectors = obs.withColumn("time", F.col("time") + 1_704_175_200).withColumn("hour", F.expr("time - time % 3600"))
+    vectors.write.parquet(str(tmp_path / "vectors"))
+    jobs.main(["export", "--vectors", str(tmp_path / "vectors"), "--day", "2024-01-02", "--out", str(tmp_path / "day")])
+    assert spark.read.option("header", True).csv(str(tmp_path / "day/opensky_2024-01-02")).count() == 90
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 

