@@ -499,6 +499,26 @@ def _weighted(spark):
     return graph.weigh(graph.edge_terms(grids.edges(c), nodes), graph.presets(spark))
 
 
+def _cell_sql(lat: float, lon: float) -> str:
+    x, y = f"radians({lon!r}) * {geo.MERCATOR_R}", f"ln(tan(pi() / 4 + radians({lat!r}) / 2)) * {geo.MERCATOR_R}"
+    return f"least(floor(({x} - ({X0!r}::DOUBLE)) / 500), {NX - 1})::BIGINT * {NY} + least(floor(({y} - ({Y0!r}::DOUBLE)) / 500), {NY - 1})::BIGINT"
+
+
+HOPS = "hops AS (" + " UNION ALL ".join(f"SELECT route_name, {a} AS a, {b} AS b, wd * distance + wp * population + wa * airspace + wt * traffic AS w FROM terms, {PRESET}" for a, b in (("src", "dst"), ("dst", "src"))) + ")"
+
+
+@query(f"""WITH RECURSIVE {CELLS}, {EDGES}, {TERMS}, {HOPS}, least_cost(route_name, node, cost) USING KEY (route_name, node) AS (SELECT route_name, {_cell_sql(*K.START)} AS node, 0.0::DOUBLE AS cost FROM {PRESET}
+UNION SELECT h.route_name, h.b, min(d.cost + h.w) FROM least_cost d JOIN hops h ON h.route_name = d.route_name AND h.a = d.node LEFT JOIN recurring.least_cost k ON k.route_name = h.route_name AND k.node = h.b GROUP BY h.route_name, h.b, k.cost HAVING k.cost IS NULL OR min(d.cost + h.w) < k.cost)
+SELECT route_name, destination, round(cost, 6) AS total_cost FROM least_cost JOIN (VALUES {", ".join(f"('{n}', {_cell_sql(lat, lon)})" for n, lat, lon in K.DESTINATIONS)}) g(destination, node) USING (node)""")
+def preset_routes(spark, d):
+    """Least costs of every preset to every destination on the study grid, searched as routes are; the SQL relaxes edge by edge."""
+    c, pick = G.cells(spark), lambda k, m: F.pmod(F.col("cell_id") * k, F.lit(m)).cast("double") / (m - 1)
+    nodes = c.select("cell_id", pick(13, 101).alias("population"), pick(7, 97).alias("airspace"), pick(3, 89).alias("traffic"))
+    terms = graph.edge_terms(grids.edges(c), nodes).withColumn("grid", F.lit("study"))
+    out = graph.preset_paths(terms, graph.presets(spark), routes.ends(spark, G), ["grid"], G.centres)
+    return rounded(out.select("route_name", "destination", "total_cost"), "total_cost")
+
+
 @query(f"WITH {CELLS}, {EDGES}, {TERMS} SELECT src, dst, route_name, round(wd * distance + wp * population + wa * airspace + wt * traffic, 6) AS weight FROM terms, {PRESET}")
 def edge_weights(spark, d):
     return rounded(_weighted(spark).select("src", "dst", "route_name", "weight"), "weight")
