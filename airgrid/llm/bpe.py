@@ -1,7 +1,7 @@
 """Byte-level BPE with tiktoken: whole texts to ids by a local rank file, and ids back to raw bytes.
 
-A text over PIECE_CHARS is cut where a match of the split pattern begins whatever stands around it: at a single blank between an
-ASCII letter, digit, point or comma and an ASCII letter. So each match is encoded on its own, as the library would do with the
+A text over PIECE_CHARS is cut where a match of the split pattern begins whatever stands around it: at a single blank between a
+letter, digit 0-9, point or comma and a letter, or between a wide stop mark and a letter. So each match is encoded on its own, as the library would do with the
 whole text, and memory follows the piece. A piece without such a place grows to the next one. Decoding joins the bytes of the
 ids and so needs no valid UTF-8 at the seams.
 
@@ -13,17 +13,17 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from airgrid.llm import _words
+from airgrid.llm import _store, _words
 
 PIECE_CHARS = 100_000
-_SAFE = re.compile(r"(?<=[A-Za-z0-9.,]) (?=[A-Za-z])")
+_SAFE = regex.compile(r"(?<=[\p{L}0-9.,]) (?=\p{L})|(?<=[。！？，、；：])(?=\p{L})")
 _codecs: dict[tuple[str, str], Codec] = {}
 
 
@@ -62,39 +62,51 @@ def codec(path: str, pattern: str) -> Codec:
     return _codecs[path, pattern]
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "token_ids") -> DataFrame:
-    """docs with n_tokens and the ids as little-endian uint32 bytes."""
-    rest = docs.drop(out, "n_tokens")
-    place = rest.columns.index(text)
+def _mapped(df: DataFrame, read: str, kind: str, out: list[tuple[str, str, pa.DataType]], each) -> DataFrame:
+    """df with the columns out (name, type in SQL and in Arrow), which take the place of those of these names; each(batch, codec
+    column) cuts a batch and gives (part, new arrays)."""
+    _store.text_batches(df.sparkSession)
+    rows, names = _store.inner(df)
+    new = [name for name, _, _ in out]
+    kept = [k for k, c in enumerate(names) if c.lower() not in new]
+    rest = rows.select(*[f"c{k}" for k in kept], F.col(_store.place(names, read)).cast(kind).alias("read"))
 
     def run(batches):
+        for part, made in each(batches):
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], *[pa.array(x, t) for x, (_, _, t) in zip(made, out, strict=True)]], names=[*part.schema.names[:-1], *new])
+
+    schema = rest.drop("read").withColumns({name: F.lit(None).cast(t) for name, t, _ in out}).schema
+    return rest.mapInArrow(run, schema).toDF(*[names[k] for k in kept], *new)
+
+
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "token_ids") -> DataFrame:
+    """docs with the ids as little-endian uint32 bytes, and n_tokens."""
+
+    def each(batches):
         c = codec(path, pattern)
-        for b in _words.small_batches(batches, text):
-            ids = [b"".join(x.tobytes() for x in c.encode(t or "")) for t in b.column(place).to_pylist()]
-            columns = [*b.columns, pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*b.schema.names, out, "n_tokens"])
+        for b in _words.small_batches(batches, "read"):
+            ids = [b"".join(x.tobytes() for x in c.encode(t or "")) for t in b.column(b.num_columns - 1).to_pylist()]
+            yield b, (ids, [len(x) // 4 for x in ids])
 
-    return rest.mapInArrow(run, rest.withColumns({out: F.lit(b""), "n_tokens": F.lit(0).cast("long")}).schema)
+    return _mapped(docs, text, "string", [(out, "binary", pa.binary()), ("n_tokens", "long", pa.int64())], each)
 
 
 def decode(coded: DataFrame, path: str, pattern: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
     """coded with the raw bytes of its ids; null ids decode to no bytes."""
-    rest = coded.drop(out)
-    place = rest.columns.index(ids)
 
-    def run(batches):
+    def each(batches):
         c = codec(path, pattern)
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
-                raw = [c.decode(np.frombuffer(x or b"", dtype="<u4")) for x in part.column(place).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(raw, pa.binary())], names=[*part.schema.names, out])
+                yield part, ([c.decode(np.frombuffer(x or b"", dtype="<u4")) for x in part.column(part.num_columns - 1).to_pylist()],)
 
-    return rest.mapInArrow(run, rest.withColumn(out, F.lit(b"")).schema)
+    return _mapped(coded, ids, "binary", [(out, "binary", pa.binary())], each)
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Encodes and decodes each text piece by piece and keeps the digests only, so that neither ids nor bytes travel."""
+    _store.text_batches(docs.sparkSession)
 
     def run(batches):
         c = codec(path, pattern)
