@@ -15,13 +15,17 @@ from pyspark.sql import functions as F
 SETTING = "spark.checkpoint.dir"
 #: The largest side that is broadcast.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
+#: Bytes of a batch of texts, on the JVM's side and in Python.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; one of our own only where it is unset, as in tests."""
-    base = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir() or "file:///tmp/checkpoints/airgrid"
+    """The cluster's spark.checkpoint.dir; one of our own only in local mode where it is unset, as in tests."""
+    base = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING) or spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"{SETTING} is not set: executors need a folder that all share")
+    base = base or "file:///tmp/checkpoints/airgrid"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -35,11 +39,27 @@ def as_uri(path: str) -> str:
     return path if "://" in path else "file://" + path.removeprefix("file:")
 
 
+#: What Hadoop calls a scheme, and what pyarrow does.
+_SCHEMES = {"s3a://": "s3://", "s3n://": "s3://", "wasbs://": "abfss://"}
+
+
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
-    """pyarrow's filesystem for a path, on a driver or an executor alike."""
+    """pyarrow's filesystem for a path, on a driver or an executor alike; a scheme that it lacks is an error that says so."""
+    for hadoop, ours in _SCHEMES.items():
+        path = ours + path.removeprefix(hadoop) if path.startswith(hadoop) else path
+    if path.startswith("hdfs:/") and not path.startswith("hdfs://"):
+        path = "hdfs://default" + path.removeprefix("hdfs:")
+    if path.startswith("dbfs:/"):  # mounted on every machine
+        path = "/dbfs" + path.removeprefix("dbfs:")
     return pafs.FileSystem.from_uri(as_uri(path).replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else as_uri(path))
 
 
+def text_batches(spark: SparkSession) -> None:
+    """From now on, batches of rows that this session hands to Python hold about BATCH_BYTES, not 64 MB; another setting stays."""
+    if spark.conf.get(_BATCH) in ("67108864b", "64m"):
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def inner(df: DataFrame) -> tuple[DataFrame, list[str]]:
     """df with the inner names c0, c1, ..., which none of ours equals, and its own names, to be given back by toDF."""
     return df.toDF(*[f"c{k}" for k in range(len(df.columns))]), df.columns
