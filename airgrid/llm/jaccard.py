@@ -34,7 +34,7 @@ from airgrid.llm import _store, _words
 SIZE, NUMERATOR = 4, 85
 FRAGMENTS = 8
 SMALL, COMMON = 32, 32
-ROUNDS, CENTRES = 3, 3
+ROUNDS, CENTRES, DRAWS = 3, 3, 6
 BLOCK = 512
 #: Bits of a bitmap for each value, and at most (16 MB).
 BITS, MAP_BITS = 8, 1 << 27
@@ -413,6 +413,7 @@ def links_in_blocks(apart: DataFrame, sets: DataFrame, numerator: int, own: _sto
 def _link(docs: DataFrame, numerator: int, size: int = SIZE) -> tuple[DataFrame, DataFrame, int]:
     """(doc_id, node and n of every document; node and comp of every linked node; the seed of the nodes), stored."""
     own = _store.Scratch(docs.sparkSession)
+    _store.text_batches(docs.sparkSession)
     for seed in range(8):
         found = own.written(measure(docs, numerator, seed, size), "jaccard-sets")
         clash = found.groupBy("node").agg((F.min("chk") != F.max("chk")).alias("x")).where("x").limit(1).count()
@@ -451,11 +452,15 @@ def _link(docs: DataFrame, numerator: int, size: int = SIZE) -> tuple[DataFrame,
         if apart.isEmpty():
             own.drop(apart, sets, big)
             return rows, labels, seed
+        # each node draws a few of its shingles before it meets their centres, and tries one that it may link to of each
         centres = apart.groupBy("token").agg(*[f(x, F.xxhash64("node", "token", F.lit(CENTRES * r + k))).alias(f"{x}{k}") for k in range(CENTRES) for f, x in ((F.min_by, "node"), (F.min_by, "n"), (F.min_by, "comp"))])
-        centre = F.explode(F.array(*[F.struct(F.col(f"node{k}").alias("node"), F.col(f"n{k}").alias("n"), F.col(f"comp{k}").alias("comp")) for k in range(CENTRES)])).alias("c")
-        star = apart.join(centres.select("token", centre), "token").where((F.col("comp") != F.col("c.comp")) & _fits(F.col("n"), F.col("c.n"), numerator))
-        draws = [F.min_by("c", F.xxhash64("c.node", "node", F.lit(100 + CENTRES * r + k))).alias(f"d{k}") for k in range(CENTRES)]  # of all its shingles' centres, a few
-        star = star.groupBy("node", "n").agg(*draws).select("node", "n", F.explode(F.array_distinct(F.array(*[f"d{k}" for k in range(CENTRES)]))).alias("c"))
+        centres = centres.select("token", F.array(*[F.struct(F.col(f"node{k}").alias("node"), F.col(f"n{k}").alias("n"), F.col(f"comp{k}").alias("comp")) for k in range(CENTRES)]).alias("all"))
+        draws = [F.min_by("token", F.xxhash64("token", "node", F.lit(100 + DRAWS * r + k))).alias(f"d{k}") for k in range(DRAWS)]
+        drawn = apart.groupBy("node", "n", "comp").agg(*draws).select("node", "n", "comp", F.explode(F.array_distinct(F.array(*[f"d{k}" for k in range(DRAWS)]))).alias("token"))
+        fit = F.filter("all", lambda c: (c["comp"] != F.col("comp")) & _fits(F.col("n"), c["n"], numerator))
+        star = drawn.join(centres, "token").withColumn("fit", fit).where(F.size("fit") > 0)
+        star = star.select("node", "n", F.get("fit", F.pmod(F.xxhash64("node", "token"), F.size("fit")).cast("int")).alias("c"))
+        star = star.groupBy("node", "n").agg(F.slice(F.collect_set("c"), 1, CENTRES).alias("c")).select("node", "n", F.explode("c").alias("c"))
         order = F.col("node") < F.col("c.node")
         pick = lambda x, y: F.when(order, F.col(x)).otherwise(F.col(y))
         star = star.select(pick("node", "c.node").alias("a"), pick("n", "c.n").alias("na"), pick("c.node", "node").alias("b"), pick("c.n", "n").alias("nb")).distinct()

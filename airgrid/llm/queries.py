@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airgrid.llm import _store, linededup
+from airgrid.llm import _store, linededup, oracles
 
 
 def fold(doc_id: Column) -> Column:
@@ -87,7 +87,7 @@ def op6_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     from airgrid.llm import decontam
 
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    found = decontam.judged(decontam.match(docs, _read(spark, sf_dir, "benchmark"), keep=["doc_id"]))
+    found = decontam.judged(decontam.match(docs, _read(spark, sf_dir, "benchmark"), keep=["doc_id"], spans=False))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
@@ -98,4 +98,10 @@ def op8_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_noisy_channel, op2_dac, op3_rank_order, op4_vertical_join, op5_multiprobe, op6_suffix_arrays, op7_byte_bpe, op8_line_windows, op9_ring, op10_warc)}
-ORACLE_SQL: dict[str, str] = {"op8_line_windows": linededup.ORACLE}
+ORACLE_SQL: dict[str, str] = {
+    "op3_rank_order": oracles.RANK_ORDER,
+    "op4_vertical_join": oracles.VERTICAL_JOIN,
+    "op6_suffix_arrays": oracles.SUFFIX_ARRAYS,
+    "op8_line_windows": linededup.ORACLE,
+    "op10_warc": oracles.WARC,
+}
