@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import json
+import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -135,6 +136,48 @@ def heat_layers(bins: DataFrame, limit: int = 100_000) -> list[dict]:
     return [{"label": f"{h} h", "groups": {}, "color": "#d7191c", "step": f"{h} h", "shapes": by[h]} for h in sorted(by)]
 
 
+def pies(title: str, shares: dict[str, dict[str, float]], colors: dict[str, str], size: int = 240) -> str:
+    """An SVG of pies, one per name, whose slices are the parts' shares of its sum."""
+    out = []
+    for k, (name, parts) in enumerate(shares.items()):
+        total, at, cx, cy, r = sum(parts.values()), 0.0, size * (k + 0.5), size * 0.6, size * 0.4
+        for part, value in parts.items():
+            share = value / total if total else 0.0
+            if share <= 0:
+                continue
+            ends = [(cx + r * math.sin(2 * math.pi * t), cy - r * math.cos(2 * math.pi * t)) for t in (at, at + share)]
+            path = f"M{cx:.2f} {cy:.2f}L{ends[0][0]:.2f} {ends[0][1]:.2f}A{r:.2f} {r:.2f} 0 {int(share > 0.5)} 1 {ends[1][0]:.2f} {ends[1][1]:.2f}Z"
+            shape = f"<circle cx='{cx:.2f}' cy='{cy:.2f}' r='{r:.2f}'" if share > 1 - 1e-9 else f"<path d='{path}'"
+            out.append(f"{shape} fill='{colors.get(part, '#888888')}'><title>{html.escape(part)} {share:.1%}</title></{'circle' if share > 1 - 1e-9 else 'path'}>")
+            at += share
+        out.append(f"<text x='{cx:.2f}' y='{size * 0.14:.2f}' text-anchor='middle'>{html.escape(name)}</text>")
+    return _svg(title, size * max(1, len(shares)), int(size * 1.1), out)
+
+
+def bars(title: str, values: dict[str, dict[str, float]], colors: dict[str, str], width: int = 900, height: int = 360) -> str:
+    """An SVG of bars grouped by name, a series for each part, heights by the largest value."""
+    top = max([v for parts in values.values() for v in parts.values()], default=0.0) or 1.0
+    group, out = width / max(1, len(values)), []
+    for k, (name, parts) in enumerate(values.items()):
+        each = group * 0.8 / max(1, len(parts))
+        for j, (part, v) in enumerate(parts.items()):
+            tall = (height - 60) * v / top
+            out.append(f"<rect x='{group * (k + 0.1) + each * j:.2f}' y='{height - 30 - tall:.2f}' width='{each * 0.9:.2f}' height='{tall:.2f}' fill='{colors.get(part, '#888888')}'><title>{html.escape(f'{name} {part}: {v:.3f}')}</title></rect>")
+        out.append(f"<text x='{group * (k + 0.5):.2f}' y='{height - 10}' text-anchor='middle'>{html.escape(name)}</text>")
+    return _svg(title, width, height, out)
+
+
+def cells_image(title: str, cells: list[tuple[int, int, float]], side: int = 3) -> str:
+    """An SVG of cells (column, row from the south, share from 0 to 1), the denser the darker."""
+    rows = max((y for _, y, _ in cells), default=0) + 1
+    out = [f"<rect x='{x * side}' y='{(rows - 1 - y) * side + 20}' width='{side}' height='{side}' fill='#7f0000' fill-opacity='{max(0.0, min(1.0, v)):.3f}'/>" for x, y, v in cells]
+    return _svg(title, (max((x for x, _, _ in cells), default=0) + 1) * side, rows * side + 20, out)
+
+
+def _svg(title: str, width: int, height: int, parts: list[str]) -> str:
+    return f"<svg xmlns='http://www.w3.org/2000/svg' width='{width}' height='{height}' font-family='sans-serif' font-size='12'><title>{html.escape(title)}</title>{''.join(parts)}</svg>"
+
+
 def write_text(spark, path: str, text: str) -> None:
     """A text file by Hadoop's file system, so that a path may lie in any store; an existing one is an error."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -95,26 +95,56 @@ class ShapefileReader(DataSourceReader):
 
     def read(self, partition):
         with open(f"{self.path}.dbf", "rb") as dbf, open(f"{self.path}.shx", "rb") as shx, open(f"{self.path}.shp", "rb") as shp:
-            head = dbf.read(32)
-            start, size = struct.unpack("<HH", head[8:12])
-            fields, at = {}, 1
-            for _ in range((start - 33) // 32):
-                raw = dbf.read(32)
-                name = raw[:11].split(b"\0")[0].decode()
-                fields[name] = (at, raw[16], chr(raw[11]))
-                at += raw[16]
-            wanted = [f.name for f in self.schema.fields if f.name != "geometry"]
-            for k in range(partition.first, partition.last):
-                dbf.seek(start + k * size)
-                row = dbf.read(size)
-                values = []
-                for name in wanted:
-                    a, n, kind = fields[name]
-                    text = row[a : a + n].decode("utf-8", "replace").strip()
-                    values.append((float(text) if "." in text else int(text)) if kind in "NF" and text.strip("*") else (text or None) if kind not in "NF" else None)
-                shx.seek(100 + 8 * k)
-                shp.seek(2 * struct.unpack(">i", shx.read(4))[0] + 8)
-                yield (*values, polygon(shp))
+            yield from records(shp, shx, dbf, [f.name for f in self.schema.fields if f.name != "geometry"], partition.first, partition.last)
+
+
+def records(shp, shx, dbf, wanted: list[str], first: int, last: int):
+    """(wanted fields, geometry) of the records from first to last of a shapefile's three files."""
+    head = dbf.read(32)
+    start, size = struct.unpack("<HH", head[8:12])
+    fields, at = {}, 1
+    for _ in range((start - 33) // 32):
+        raw = dbf.read(32)
+        name = raw[:11].split(b"\0")[0].decode()
+        fields[name] = (at, raw[16], chr(raw[11]))
+        at += raw[16]
+    for k in range(first, last):
+        dbf.seek(start + k * size)
+        row = dbf.read(size)
+        values = []
+        for name in wanted:
+            a, n, kind = fields[name]
+            text = row[a : a + n].decode("utf-8", "replace").strip()
+            values.append((float(text) if "." in text else int(text)) if kind in "NF" and text.strip("*") else (text or None) if kind not in "NF" else None)
+        shx.seek(100 + 8 * k)
+        shp.seek(2 * struct.unpack(">i", shx.read(4))[0] + 8)
+        yield (*values, polygon(shp))
+
+
+def shapefiles(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
+    """The same of every shapefile whose path without its ending meets a pattern, in any store that Spark reads: a task per file, which
+    holds the file. For a single large one on a path that all machines have, the data source reads ranges."""
+    files = spark.read.format("binaryFile").load(pattern + ".{shp,shx,dbf}").select("path", "content")
+    part = lambda kind: F.max(F.when(F.right("path", F.lit(3)) == kind, F.col("content"))).alias(kind)
+    whole = files.groupBy(F.expr("left(path, length(path) - 4)").alias("stem")).agg(part("shp"), part("shx"), part("dbf"))
+    names = StructType.fromDDL(schema).names
+
+    def run(frames):
+        import io
+
+        import pandas as pd
+
+        for frame in frames:
+            for _, shp, shx, dbf in frame.itertuples(index=False):
+                n = (len(shx) - 100) // 8
+                for at in range(0, n, 20_000):
+                    rows = list(records(io.BytesIO(shp), io.BytesIO(shx), io.BytesIO(dbf), [c for c in names if c != "geometry"], at, min(at + 20_000, n)))
+                    table = pd.DataFrame(rows, columns=[*[c for c in names if c != "geometry"], "geometry"])
+                    if "geometry" in names:
+                        table["geometry"] = [g and [[{"x": x, "y": y} for x, y in ring] for ring in g] for g in table["geometry"]]
+                    yield table[names]
+
+    return whole.mapInPandas(run, schema)
 
 
 def polygon(f) -> list | None:

@@ -215,6 +215,10 @@ def test_shapefile(spark, tmp_path):
     readers.register(spark)
     row = spark.read.format("shapefile").schema("GEOID string, ALAND long, geometry array<array<struct<x: double, y: double>>>").load(str(tmp_path / "g.shp")).first()
     assert (row["GEOID"], row["ALAND"], [tuple(p) for p in row["geometry"][0]]) == ("17031", 1234, ring)
+    for kind in ("shp", "shx", "dbf"):
+        (tmp_path / f"h.{kind}").write_bytes((tmp_path / f"g.{kind}").read_bytes())
+    both = readers.shapefiles(spark, f"file://{tmp_path}/*", "GEOID string, ALAND long, geometry array<array<struct<x: double, y: double>>>").collect()
+    assert [(r["GEOID"], r["ALAND"], [tuple(p) for p in r["geometry"][0]]) for r in both] == [("17031", 1234, ring)] * 2
 
 
 def test_newest_and_guards(spark, tmp_path):
@@ -351,6 +355,21 @@ def test_pages(spark):
         writers.route_layers(rows, limit=0)
 
 
+def test_charts():
+    import xml.etree.ElementTree as ET
+
+    colors = {"distance": "#111111", "traffic": "#222222"}
+    pie = ET.fromstring(writers.pies("a & b", {"x": {"distance": 3.0, "traffic": 1.0}, "y": {"distance": 2.0, "traffic": 0.0}, "z": {}}, colors))
+    tags = [e.tag.rsplit("}")[-1] for e in pie]
+    assert tags.count("path") == 2 and tags.count("circle") == 1 and tags.count("text") == 3
+    assert [e[0].text for e in pie if e.tag.endswith("path")] == ["distance 75.0%", "traffic 25.0%"]
+    bar = ET.fromstring(writers.bars("t", {"d1": {"distance": 2.0, "traffic": 1.0}, "d2": {"distance": 4.0}}, colors, height=260))
+    assert [float(e.get("height")) for e in bar if e.tag.endswith("rect")] == [100.0, 50.0, 200.0]
+    image = ET.fromstring(writers.cells_image("t", [(0, 0, 0.5), (2, 1, 2.0)], side=2))
+    assert [(e.get("x"), e.get("y"), e.get("fill-opacity")) for e in image if e.tag.endswith("rect")] == [("0", "22", "0.500"), ("4", "20", "1.000")]
+    assert ET.fromstring(writers.bars("t", {}, {})).tag.endswith("svg")
+
+
 def test_jobs(spark, tmp_path, monkeypatch):
     """Each job from its command line on a small export."""
     from airgrid import jobs
