@@ -15,6 +15,7 @@ each with a place of its own; an empty table gives no file and no row. Columns b
 
 from __future__ import annotations
 
+import io
 import json
 import uuid
 import zlib
@@ -113,18 +114,40 @@ def pack(doc_ids: np.ndarray, starts: np.ndarray, ids: np.ndarray, widths=WIDTHS
     return b"".join([MAGIC, len(head).to_bytes(4, "little"), head, *blobs])
 
 
-class DacFile:
-    """A file, read back: ``doc_ids``, ``starts``, ``levels``; ``document(k)`` gives the ids of the k-th document."""
+class _Column:
+    """A section of a file, of which only what is asked for is read."""
+
+    def __init__(self, source, at: int, size: int, kind: str):
+        self.source, self.at, self.kind = source, at, np.dtype(kind)
+        self.n = size // self.kind.itemsize
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __getitem__(self, k):
+        lo, hi = (k, k + 1) if not isinstance(k, slice) else k.indices(self.n)[:2]
+        lo, hi = max(0, min(lo, self.n)), max(0, min(hi, self.n))
+        self.source.seek(self.at + lo * self.kind.itemsize)
+        out = np.frombuffer(self.source.read(max(0, hi - lo) * self.kind.itemsize), dtype=self.kind)
+        return out if isinstance(k, slice) else out[0]
 
-    def __init__(self, raw: bytes):
-        if raw[:4] != MAGIC:
+
+class DacFile:
+    """A file (anything that seeks and reads), read back: ``doc_ids``, ``starts``, ``levels``; ``document(k)`` gives the ids of the
+    k-th document, ``documents(lo, hi)`` those of several, each by a seek and a read per section. The header alone is held."""
+
+    def __init__(self, source):
+        source = io.BytesIO(source) if isinstance(source, bytes) else source
+        source.seek(0)
+        start = source.read(8)
+        if start[:4] != MAGIC:
             raise ValueError("not a DAC file")
-        n = int.from_bytes(raw[4:8], "little")
-        head, base = json.loads(raw[8 : 8 + n]), 8 + n
+        n = int.from_bytes(start[4:8], "little")
+        head, base = json.loads(source.read(n)), 8 + n
 
         def section(name):
             at, size, kind = head["sections"][name]
-            return np.frombuffer(raw, dtype=kind, count=size // np.dtype(kind).itemsize, offset=base + at)
+            return _Column(source, base + at, size, kind)
 
         widths = tuple(head["widths"])
         self.doc_ids, self.starts = section("doc_ids"), section("starts")
@@ -132,7 +155,11 @@ class DacFile:
         self.levels = Levels(widths, [section(f"chunks{k}") for k in range(last + 1)], [section(f"bits{k}") for k in range(last)], [section(f"ranks{k}") for k in range(last)], head["tokens"])
 
     def document(self, k: int) -> np.ndarray:
-        return self.levels.slice(int(self.starts[k]), int(self.starts[k + 1]))
+        return self.documents(k, k + 1)[0]
+
+    def documents(self, lo: int, hi: int) -> list[np.ndarray]:
+        starts = self.starts[lo : hi + 1].astype(np.int64)
+        return np.split(self.levels.slice(int(starts[0]), int(starts[-1])), starts[1:-1] - starts[0])
 
 
 # ---- tokenizing ------------------------------------------------------------------------------------------------------
@@ -303,7 +330,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer_path: str, end_id: int = 2
     number of files, each of about segment_tokens ids, so no task holds more than one file's ids.
     """
     spark = docs.sparkSession
-
+    _store.text_batches(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     cuts = docs.agg(F.percentile_approx("doc_id", F.array(*[F.lit(k / n) for k in range(1, n)]), 10_000).alias("cuts")).first()["cuts"] if n > 1 else None
@@ -353,7 +380,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer_path: str, end_id: int = 2
         if docs_:
             yield flush()
 
-    coded = docs.mapInArrow(encode, "part int, doc_id long, ids binary").repartition(n, "part")
+    coded = docs.mapInArrow(encode, "part int, doc_id long, ids binary").repartitionById(n, F.col("part"))  # a task per part
     rows = coded.sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), F.crc32("ids")).mapInArrow(write, MANIFEST)
     return _store.written(rows, "dac-manifest")
 
@@ -375,13 +402,12 @@ def read_tokens(manifest: DataFrame, out: str, digest: bool = False) -> DataFram
         for b in batches:
             for name, start in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 with fs.open_input_file(f"{base}/{name}") as f:
-                    d = DacFile(f.read())
-                for lo in range(0, len(d.doc_ids), 1000):
-                    ks = range(lo, min(lo + 1000, len(d.doc_ids)))
-                    ids = [d.document(k).astype("<u4") for k in ks]
-                    docs_ = [None if x == -(1 << 63) else x for x in d.doc_ids[lo : lo + 1000].tolist()]
-                    last = pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()) if digest else pa.array([x.astype(np.int64) for x in ids], pa.list_(pa.int64()))
-                    yield pa.record_batch([pa.array(docs_, pa.int64()), pa.array((d.starts[lo : lo + len(ids)].astype(np.int64) + start)), pa.array([len(x) for x in ids], pa.int64()), last], names=["doc_id", "start", "n_tokens", "ids_crc32" if digest else "ids"])
+                    d = DacFile(f)
+                    for lo in range(0, len(d.doc_ids), 1000):
+                        ids = [x.astype("<u4") for x in d.documents(lo, min(lo + 1000, len(d.doc_ids)))]
+                        docs_ = [None if x == -(1 << 63) else x for x in d.doc_ids[lo : lo + 1000].tolist()]
+                        last = pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()) if digest else pa.array([x.astype(np.int64) for x in ids], pa.list_(pa.int64()))
+                        yield pa.record_batch([pa.array(docs_, pa.int64()), pa.array((d.starts[lo : lo + len(ids)].astype(np.int64) + start)), pa.array([len(x) for x in ids], pa.int64()), last], names=["doc_id", "start", "n_tokens", "ids_crc32" if digest else "ids"])
 
     files = with_starts(manifest).select("file", "start").repartition(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file")
     return files.mapInArrow(read, "doc_id long, start long, n_tokens long, " + ("ids_crc32 long" if digest else "ids array<long>"))
