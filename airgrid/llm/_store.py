@@ -119,7 +119,11 @@ def size_of(table: DataFrame) -> int:
     return 8 * int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def bounded_join(left: DataFrame, right: DataFrame, on, how: str = "inner", max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """left joined with a stored right side: broadcast while it has max_rows rows and max_bytes bytes at most, else by shuffles on the key."""
-    small = size_of(right) <= max_bytes and right.limit(max_rows + 1).count() <= max_rows
-    return left.join(F.broadcast(right) if small else right, on, how)
+def small(table: DataFrame) -> bool:
+    """Whether a stored table may be broadcast."""
+    return size_of(table) <= BROADCAST_BYTES and table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
+def bounded_join(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """left joined with a stored right side: broadcast while it is small, else by shuffles on the key."""
+    return left.join(F.broadcast(right) if small(right) else right, on, how)

@@ -53,9 +53,17 @@ def mark(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     rows = rows.withColumns({"n_bytes": F.length("payload").cast("long"), "sha1": F.sha1("payload")})
     groups = rows.where(F.col("n_bytes") >= min_bytes).groupBy("sha1", "n_bytes").agg(F.min("page_id").alias("first_page"), F.count(F.lit(1)).alias("n"))
     groups = _store.written(groups.where(F.col("n") > 1).drop("n"), "warc-groups")
-    joined = _store.bounded_join(rows, groups, ["sha1", "n_bytes"], "left")
     later = F.col("first_page").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_page"))
-    return joined.withColumn("refers_to", F.when(later, F.col("first_page"))).drop("first_page")
+    if _store.small(groups):
+        joined = rows.join(F.broadcast(groups), ["sha1", "n_bytes"], "left")
+        return joined.withColumn("refers_to", F.when(later, F.col("first_page"))).drop("first_page")
+    # payloads must not meet by digest, of which one may be commonest by far: revisits are found without payloads, which they do not
+    # need, and what is left of the rows is told by page
+    again = rows.drop("payload").join(groups, ["sha1", "n_bytes"]).where(later).withColumnRenamed("first_page", "refers_to")
+    again = _store.written(again, "warc-revisits")
+    same = F.col("page_id").eqNullSafe(F.col("again_page")) & (F.col("sha1") == F.col("again_sha1"))
+    first = rows.join(again.select(F.col("page_id").alias("again_page"), F.col("sha1").alias("again_sha1")), same, "left_anti")
+    return first.withColumn("refers_to", F.lit(None).cast("long")).unionByName(again.withColumn("payload", F.lit(b"")))
 
 
 def chunked(marked: DataFrame, chunk: int = CHUNK) -> DataFrame:
