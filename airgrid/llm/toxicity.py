@@ -3,8 +3,10 @@
 A writer's plain word reaches us through a channel that swaps letters for look-alikes (LEET), puts separators between letters
 and repeats letters. A disguised stretch becomes a character lattice: each look-alike may be itself or a letter, each separator
 may stand or go, between single letters or chunks of a word, each run of one letter may be the run, two or one. Viterbi finds the likeliest path under a character trigram
-model whose counts come from all documents, plus the channel's costs. Stretches without such marks have one path and are left
-as they are, so only marked ones are decoded, each distinct one once per process.
+model whose counts come from all documents, plus the channel's costs. A number with its unit (4th, 10am) has one path; a word with
+digits (mp3s) is left as it is if a code of equally likely characters is a cheaper account of it than the best path. Stretches
+without marks have one path and are left as they are, so only marked ones are decoded, each distinct one once per process; the
+time is linear in the text.
 
 The score knows restored words only. A word's evidence is the largest log odds among its features, which are its byte prefixes of
 4 to 8 bytes and the word itself; a text's evidence is the sum over its distinct words; a logistic curve fitted to labelled texts
@@ -41,17 +43,23 @@ COST_LEET, COST_KEEP, COST_DROP, COST_STAY, COST_RUN, COST_TWO = 1.0, 6.0, 0.5,
 #: Rarer acts of the channel: one letter written twice, a separator put between chunks of a word; and marks that end a word anyway.
 COST_DOUBLE, COST_CHUNK, ENDS = 3.0, 1.5, "!|+("
 
-#: Classes of the character model: 0 a break, 1-26 letters, 27 any other letter byte.
+#: A word with digits may also be a code (mp3s, h2o): so much, and as much a character as if all were equally likely.
+COST_CODE, COST_CHAR = 21.5, math.log(36)
+
+#: Classes of the character model: 0 a break, 1-26 letters, 27 any other letter byte, 28 digits.
 CLASSES = np.zeros(256, dtype=np.int64)
 for _c in range(26):
     CLASSES[97 + _c] = CLASSES[65 + _c] = _c + 1
 CLASSES[128:] = 27
-N = 28
+CLASSES[48:58] = 28
+N = 29
 
 _LETTER = _words.byte_class(lambda b: chr(b).isalpha() and b < 128)
 _LEET = _words.byte_class(lambda b: chr(b) in LEET and b < 128)
 _SEP = _words.byte_class(lambda b: chr(b) in SEPARATORS)
 _WORD = _words.byte_class(lambda b: 97 <= b <= 122 or b >= 128)
+#: Neither blanks nor commas: no disguise but spaced letters reaches over those.
+_CHUNK = _words.byte_class(lambda b: b not in b" ,\t\n\r\x0b\x0c")
 _L = re.escape("".join(LEET)).encode()
 #: A letter, or one character that may stand for it; a word's letters and look-alikes.
 _ALPHA = rb"(?:[A-Za-z]|[\xc2-\xf4][\x80-\xbf]+)"
@@ -64,6 +72,11 @@ _MARKED = re.compile(rb"(" + _SPACED + rb")|" + _WORDLIKE)
 _DISGUISED = re.compile(_ALPHA + rb"[" + _L + rb"]|[" + _L + rb"]" + _ALPHA + rb"|([A-Za-z])\1|([\xc2-\xf4][\x80-\xbf]+)\2|" + _ANY + rb"[.\-_*~/]+" + _ANY)
 
 
+#: A number with its unit or ending is no disguise; a word of letters and digits may be a code.
+_NUMBER, _CODE = re.compile(rb"[0-9]+[A-Za-z]{0,2}"), re.compile(rb"(?=.*[0-9])[A-Za-z0-9]+", re.S)
+_CLASS = CLASSES.tolist()
+
+
 def count_trigrams(texts: pa.Array) -> np.ndarray:
     """Counts of class trigrams; a text begins and ends with breaks."""
     offsets, data = _words.buffers(texts)
@@ -78,6 +91,7 @@ def count_trigrams(texts: pa.Array) -> np.ndarray:
 
 def corpus_trigrams(docs: DataFrame) -> np.ndarray:
     """Summed over all documents; a task adds up its own first, and at most N**3 sums reach the driver."""
+    _store.text_batches(docs.sparkSession)
 
     def run(batches):
         total = np.zeros(N**3, dtype=np.int64)
@@ -99,22 +113,23 @@ class Restorer:
 
     counts: np.ndarray
     known: dict[bytes, bytes] = field(default_factory=dict)
+    stretches: dict[bytes, bytes] = field(default_factory=dict)
 
     def __post_init__(self):
         tri = self.counts.reshape(N, N, N).astype(float)
         bi, uni = tri.sum(axis=2), tri.sum(axis=(0, 2))
         p1 = (uni + 1) / (uni.sum() + N)
         p2 = (tri.sum(axis=0) + 5 * p1[None, :]) / (tri.sum(axis=(0, 2))[:, None] + 5)
-        self.cost = -np.log((tri + 5 * p2[None, :, :]) / (bi[:, :, None] + 5))
+        self.flat = (-np.log((tri + 5 * p2[None, :, :]) / (bi[:, :, None] + 5))).reshape(-1).tolist()
 
     def lattice(self, raw: bytes):
         """Steps of (text, classes, channel cost) choices."""
         text = raw.decode(errors="surrogateescape").lower()
         spaced = re.fullmatch(_SPACED, raw) is not None
-        steps, i = [], 0
+        steps, i, tail = [], 0, len(text.rstrip(ENDS))
         while i < len(text):
             ch, n = text[i], 1
-            while i + n < len(text) and text[i + n] == ch:
+            while ch.isalpha() and i + n < len(text) and text[i + n] == ch:
                 n += 1
             if ch.isalpha() and n >= 3:
                 steps.append([(ch, COST_TWO * 0), (ch * 2, COST_TWO), (ch * n, COST_RUN + n)])
@@ -125,8 +140,7 @@ class Restorer:
                 i += n
                 continue
             if ch in LEET:
-                ends = ch in ENDS and all(c in ENDS for c in text[i:])
-                steps.append([(x, COST_LEET) for x in LEET[ch]] + [(ch, 0.0 if ends else COST_KEEP)])
+                steps.append([(x, COST_LEET) for x in LEET[ch]] + [(ch, 0.0 if i >= tail else COST_KEEP)])
             elif spaced and ch in SEPARATORS:
                 steps.append([("", COST_DROP), (" ", COST_STAY)])
             elif ch in SEPARATORS:
@@ -136,76 +150,124 @@ class Restorer:
             i += 1
         return steps
 
-    def decode(self, raw: bytes) -> bytes:
-        if raw in self.known:
-            return self.known[raw]
+    def path(self, steps: list) -> tuple[float, str]:
+        """The cheapest choices, joined, and their cost; the text before and after are breaks."""
         states = {(0, 0): (0.0, None)}
-        for choices in self.lattice(raw):
+        for choices in steps:
             after: dict[tuple[int, int], tuple] = {}
             for (a, b), (cost, path) in states.items():
                 for text, extra in choices:
                     x, y, c = a, b, cost + extra
                     for ch in text.encode(errors="surrogateescape"):
-                        z = int(CLASSES[ch])
-                        c += self.cost[x, y, z]
+                        z = _CLASS[ch]
+                        c += self.flat[(x * N + y) * N + z]
                         x, y = y, z
                     if (x, y) not in after or c < after[x, y][0]:
                         after[x, y] = (c, (path, text))
             states = after
-        _, path = min(((c + self.cost[a, b, 0], p) for (a, b), (c, p) in states.items()), key=lambda s: s[0])
+        cost, path = min(((c + self.flat[(a * N + b) * N], p) for (a, b), (c, p) in states.items()), key=lambda s: s[0])
         parts = []
         while path is not None:
             path, text = path
             parts.append(text)
-        out = "".join(reversed(parts)).encode(errors="surrogateescape")
-        if len(self.known) >= 200_000:
-            self.known.clear()
-        self.known[raw] = out
+        return cost, "".join(reversed(parts))
+
+    def decode(self, raw: bytes) -> bytes:
+        if raw in self.known:
+            return self.known[raw]
+        if _NUMBER.fullmatch(raw):
+            return raw.lower()
+        cost, text = self.path(self.lattice(raw))
+        out = text.encode(errors="surrogateescape")
+        if _CODE.fullmatch(raw) and COST_CODE + COST_CHAR * len(raw) < cost:
+            out = raw.lower()
+        if len(raw) <= 100:
+            if len(self.known) >= 200_000:
+                self.known.clear()
+            self.known[raw] = out
         return out
 
     def restore(self, raw: bytes) -> bytes:
+        """raw with its disguised stretches decoded; short ones are kept."""
+        out = self.stretches.get(raw)
+        if out is None:
+            out = self._restore(raw)
+            if len(raw) <= 60:
+                if len(self.stretches) >= 400_000:
+                    self.stretches.clear()
+                self.stretches[raw] = out
+        return out
+
+    def _restore(self, raw: bytes) -> bytes:
         return _MARKED.sub(lambda m: self.decode(m[0]) if m[1] is not None or _DISGUISED.search(m[0]) else m[0], raw)
 
     def batch(self, texts: pa.Array) -> pa.Array:
-        """The texts, lower-cased, with marked stretches restored."""
+        """The texts, lower-cased, with marked stretches restored: chunks between blanks that hold a mark, each distinct one once, and
+        stretches of chunks around spaced letters."""
         low = pc.utf8_lower(texts.fill_null("") if texts.null_count else texts)
         offsets, data = _words.buffers(low)
-        hits = marked(data)
-        if not len(hits):
+        single, spaced = marked(data)
+        if not len(single) and not len(spaced):
             return low
-        begins = np.unique(np.concatenate([offsets, np.flatnonzero(data == 10) + 1]))  # of lines, and the end
-        lines = np.unique(np.searchsorted(begins, hits, "right") - 1)
-        owner = np.searchsorted(offsets, begins[lines], "right") - 1
-        new: dict[int, list[bytes]] = {}
-        done: dict[int, int] = {}
-        for k, doc in zip(lines.tolist(), owner.tolist(), strict=True):
-            begin, end = int(begins[k]), int(begins[k + 1])
-            parts = new.setdefault(doc, [])
-            parts += [data[done.get(doc, int(offsets[doc])) : begin].tobytes(), self.restore(data[begin:end].tobytes())]
-            done[doc] = end
+        begin, end = _words.spans(offsets, data, 0, len(data), _CHUNK)
+        solid = np.concatenate([[0], np.cumsum((_LETTER | _LEET | _WORD)[data])])
+        real = solid[end] > solid[begin]  # chunks of separators alone are gaps
+        begin, end = begin[real], end[real]
+        owner = np.searchsorted(offsets, begin, "right") - 1
+
+        def chunks(at):
+            k = np.maximum(np.searchsorted(begin, at, "right") - 1, 0)
+            return k[(begin[k] <= at) & (at < end[k])] if len(begin) else k[:0]
+
+        near = np.zeros(len(begin), dtype=bool)
+        k = np.unique(chunks(spaced))
+        near[k] = True
+        before, after = k[k > 0], k[k < len(near) - 1]
+        near[before[owner[before - 1] == owner[before]] - 1] = True
+        near[after[owner[after + 1] == owner[after]] + 1] = True
+        first = np.flatnonzero(near & ~np.concatenate([[False], near[:-1] & (owner[1:] == owner[:-1])])) if len(near) else k
+        last = np.flatnonzero(near & ~np.concatenate([near[1:] & (owner[1:] == owner[:-1]), [False]])) if len(near) else k
+        alone = np.unique(chunks(single))
+        alone = alone[~near[alone]]
+        s, e = np.concatenate([begin[first], begin[alone]]), np.concatenate([end[last], end[alone]])
+        raw = data.tobytes()
+        _, at, back = np.unique(_words.span_hashes(data, s, e), return_index=True, return_inverse=True)
+        old = [raw[s[i] : e[i]] for i in at.tolist()]
+        new = [self.restore(x) for x in old]
+        changed = np.array([x != y for x, y in zip(old, new, strict=True)], dtype=bool)[back]
+        if not changed.any():
+            return low
+        s, e, back = s[changed], e[changed], back[changed]
+        order = np.argsort(s)
+        s, e, back = s[order], e[order], back[order]
+        doc = np.searchsorted(offsets, s, "right") - 1
         mask = np.zeros(len(low), dtype=bool)
-        mask[sorted(new)] = True
-        texts = [b"".join([*new[doc], data[done[doc] : offsets[doc + 1]].tobytes()]).decode() for doc in sorted(new)]
-        return pc.replace_with_mask(low, pa.array(mask), pa.array(texts, low.type))
-
-
-def marked(data: np.ndarray) -> np.ndarray:
-    """Places near which a stretch may be disguised: a superset, found without a regular expression."""
-    out = []
+        mask[doc] = True
+        out, cuts = [], np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1], [True]]))
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            done, parts = int(offsets[doc[lo]]), []
+            for a, b, k in zip(s[lo:hi].tolist(), e[lo:hi].tolist(), back[lo:hi].tolist(), strict=True):
+                parts += [raw[done:a], new[k]]
+                done = b
+            out.append(b"".join([*parts, raw[done : int(offsets[doc[lo] + 1])]]).decode())
+        return pc.replace_with_mask(low, pa.array(mask), pa.array(out, low.type))
+
+
+def marked(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of letters and look-alikes at which a chunk may be disguised, and those of spaced letters: supersets, found without a
+    regular expression."""
+    single, spaced = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for at in range(0, len(data), _words.PIECE):
-        d = data[at : at + _words.PIECE + 8]
-        if len(d) < 2:
-            continue
-        d = np.concatenate([d, np.full(6, 10, d.dtype)])
+        d = data[max(0, at - 1) : at + _words.PIECE + 8]
+        d = np.concatenate([[10] * (at == 0), d, np.full(6, 10)]).astype(np.uint8)  # one byte before the piece
         letter, leet, sep = _LETTER[d] | (d >= 128), _LEET[d], _SEP[d]
         any_, joint = letter | leet, sep & (d != 32) & (d != 44)
         hits = [letter[:-1] & (d[:-1] == d[1:]), (leet[:-1] & letter[1:]) | (letter[:-1] & leet[1:]), any_[:-2] & joint[1:-1] & (any_ | joint)[2:]]
-        hits.append(any_[1:-1] & sep[:-2] & sep[2:])  # a middle letter of a spaced run
-        for w in (2, 3, 4):  # the same of letters of w bytes: doubled, or a middle one
-            hits += [(d[:-w] >= 192) & (d[:-w] == d[w:]), (d[1:-w] >= 192) & sep[: -w - 1] & sep[w + 1 :]]
-        hits = [np.flatnonzero(x) for x in hits]
-        out.append(np.concatenate(hits).astype(np.int64) + at)
-    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
+        hits += [(d[:-w] >= 192) & (d[:-w] == d[w:]) for w in (2, 3, 4)]  # letters of w bytes
+        single += [np.flatnonzero(x) + at - 1 for x in hits]
+        middle = [any_[1:-1] & sep[:-2] & sep[2:]] + [(d[1:-w] >= 192) & sep[: -w - 1] & sep[w + 1 :] for w in (2, 3, 4)]
+        spaced += [np.flatnonzero(x) + at for x in middle]
+    return np.unique(np.concatenate(single)), np.unique(np.concatenate(spaced))
 
 
 def word_spans(texts: pa.Array):
@@ -384,6 +446,7 @@ def learn(docs: DataFrame, labels: DataFrame, trigrams: np.ndarray, fit: int = F
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, evidence."""
+    _store.text_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
