@@ -394,11 +394,12 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, target: float = TAR
                 x, few = h.queries(q), np.isneginf(least)
                 far = h.distance(q, np.where(few, 0.0, least))
                 tables, visits, _ = h.plan(x, d, target)
-                again, _, most = h.plan(x, far, target)
-                miss = 1.0
-                for made, (_, p, _) in zip(chosen(h, tables, visits), again, strict=True):
+                miss, least_miss = 1.0, 1.0
+                for t, made in enumerate(chosen(h, tables, visits)):
+                    p = h.success(h.slots(x, t)[1], far)
                     miss = miss * np.maximum(0.0, 1 - (p * made).sum(axis=1))
-                state = np.where(few | (most < ENOUGH), _OPEN, np.where(1 - miss < ENOUGH, _MORE, _NEAR))
+                    least_miss = least_miss * np.maximum(0.0, 1 - p.sum(axis=1))
+                state = np.where(few | (1 - least_miss < ENOUGH), _OPEN, np.where(1 - miss < ENOUGH, _MORE, _NEAR))
                 yield pa.record_batch([*piece.columns, pa.array(far), pa.array(1e-9 * np.maximum(1.0, np.linalg.norm(q, axis=1) * top)), pa.array(state.astype(np.int32))], names=["vec_id", "v", "d", "least", "further", "slack", "state"])
 
     questions = own.written(rows.where(F.col("vec_id") % every == 0).mapInArrow(begun, f"vec_id long, v {array}, d double, further double"), "ann-questions")
