@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airgrid.functions import geo
+from airgrid.functions.names import free
 from airgrid.sources import constants as K
 
 Point = tuple[float, float]
@@ -179,9 +180,10 @@ def boundary_distances(points: DataFrame, segments: DataFrame, within: float | N
 
 def memberships(cells: DataFrame, segments: DataFrame, named: dict[str, list[Point]]) -> DataFrame:
     """cells with in_<region> flags."""
+    inner = {r: free(f"ring_{r}", cells) for r in named}
     w = windings(cells, segments).groupBy("cell_id").pivot("name", list(named)).agg(F.first("w"))
-    out = cells.join(w, "cell_id", "left")
-    hit = {r: F.coalesce(F.col(r) * _sense(named[r]) > 0, F.lit(False)) for r in named}
+    out = cells.join(w.select("cell_id", *[F.col(r).alias(n) for r, n in inner.items()]), "cell_id", "left")
+    hit = {r: F.coalesce(F.col(n) * _sense(named[r]) > 0, F.lit(False)) for r, n in inner.items()}
     flags = {}
     for region, (plus, minus) in REGIONS.items():
         yes, no = hit[plus[0]], F.lit(False)
@@ -190,7 +192,7 @@ def memberships(cells: DataFrame, segments: DataFrame, named: dict[str, list[Poi
         for r in minus:
             no = no | hit[r]
         flags[f"in_{region}"] = yes & ~no
-    return out.withColumns(flags).drop(*named)
+    return out.withColumns(flags).drop(*inner.values())
 
 
 def runway_uv(dx: Column, dy: Column, heading: Column) -> tuple[Column, Column]:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from airgrid.functions import scalars as S
+from airgrid.functions.names import free
 from airgrid.sources import constants as K
 
 COMBINED = ("destination_slug", "destination", "dataset_slug", "dataset_label", "total_cost", "path_nodes")
@@ -66,4 +67,5 @@ def ring_centre(ring: str = "ring"):
 def legend(rows: DataFrame, order: str, key: str = "label") -> DataFrame:
     """Rows with the first of each label, in order."""
     first = F.row_number().over(Window.partitionBy(key).orderBy(order))
-    return rows.withColumn("_n", first).where("_n = 1").drop("_n")
+    n = free("place", rows)
+    return rows.withColumn(n, first).where(F.col(n) == 1).drop(n)

@@ -62,11 +62,12 @@ def no_fly(cells: DataFrame, sites: DataFrame, blocked: float = 9999.0) -> DataF
     """Cells within a site's radius are No-Fly, unless their cost already makes them Medium or High; those left get the blocked
     cost. sites: (sx, sy, radius_m), a configuration of a few rows."""
     near = F.hypot(F.col("cx") - F.col("sx"), F.col("cy") - F.col("sy")) <= F.col("radius_m")
-    hit = cells.select("cell_id", "cx", "cy").join(F.broadcast(sites), near, "left_semi").select("cell_id", F.lit(True).alias("_hit"))
+    flag = free("hit", cells)
+    hit = cells.select("cell_id", "cx", "cy").join(F.broadcast(sites), near, "left_semi").select("cell_id", F.lit(True).alias(flag))
     out = cells.join(hit, "cell_id", "left")
-    kind = F.when(F.col("risk_cost") > 70, "High").when(F.col("risk_cost") > 30, "Medium").when(F.col("_hit"), "No-Fly").otherwise("Low")
+    kind = F.when(F.col("risk_cost") > 70, "High").when(F.col("risk_cost") > 30, "Medium").when(F.col(flag), "No-Fly").otherwise("Low")
     out = out.withColumn("risk_class", kind)
-    return out.withColumn("risk_cost", F.when(F.col("risk_class") == "No-Fly", blocked).otherwise(F.col("risk_cost"))).drop("_hit")
+    return out.withColumn("risk_cost", F.when(F.col("risk_class") == "No-Fly", blocked).otherwise(F.col("risk_cost"))).drop(flag)
 
 
 def demote_no_fly(features: DataFrame, labs: DataFrame, weights: tuple[float, float] | None = (0.9, 1.4)) -> DataFrame:
@@ -75,13 +76,14 @@ def demote_no_fly(features: DataFrame, labs: DataFrame, weights: tuple[float, fl
     from airgrid.functions import geo
 
     near = geo.equirectangular_m(F.col("lat"), F.col("lon"), F.col("llat"), F.col("llon")) <= F.col("reach_m")
-    hit = features.select("feature_id", "lat", "lon").join(F.broadcast(labs), near, "left_semi").select("feature_id", F.lit(True).alias("_hit"))
+    flag = free("hit", features)
+    hit = features.select("feature_id", "lat", "lon").join(F.broadcast(labs), near, "left_semi").select("feature_id", F.lit(True).alias(flag))
     out = features.join(hit, "feature_id", "left")
     fine = lambda c: F.when(c.isNotNull() & ~F.isnan(c), c)
     city = F.coalesce(fine(F.col("city_risk")), F.lit(0.0))
     air = F.coalesce(fine(F.col("airport_risk_combined")), fine(F.col("airport_risk")), F.lit(0.0))
     a, b = weights or (1.0, 1.0)
     cost = city * a + air * b
-    demoted = F.coalesce("_hit", F.lit(False)) & (F.col("risk_class") == "No-Fly")
+    demoted = F.coalesce(flag, F.lit(False)) & (F.col("risk_class") == "No-Fly")
     out = out.withColumn("demoted", demoted)
-    return out.withColumns({"risk_cost": F.when(F.col("demoted"), cost).otherwise(F.col("risk_cost")), "risk_class": F.when(F.col("demoted"), S.risk_class(cost, 30.0, 70.0)).otherwise(F.col("risk_class"))}).drop("_hit")
+    return out.withColumns({"risk_cost": F.when(F.col("demoted"), cost).otherwise(F.col("risk_cost")), "risk_class": F.when(F.col("demoted"), S.risk_class(cost, 30.0, 70.0)).otherwise(F.col("risk_class"))}).drop(flag)

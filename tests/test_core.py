@@ -301,6 +301,13 @@ def test_inner_names_do_not_clash(spark):
     assert {r["k"]: r["out"] for r in normalize.normalize(df, "v", "out", percentile=100).collect()} == pytest.approx({"a": 1 / 3, "b": 1.0})
     assert normalize.normalize(df.withColumn("k", F.lit(None).cast("string")), "v", "out", by=["k"]).count() == 2
     obs = spark.createDataFrame([(0, 1, "x"), (7200, 2, "y")], "time long, t0 int, T0_ string")
+    cells = SMALL.cells(spark).withColumns({"hit": F.lit("mine"), "land": F.lit("mine"), "risk_cost": F.lit(0.0), "risk_class": F.lit("Low")})
+    named = airspace.rings()
+    flagged = airspace.memberships(cells, airspace.ring_segments(spark, named), named)
+    assert {r["land"] for r in flagged.collect()} == {"mine"} and flagged.columns == [*cells.columns, *[f"in_{r}" for r in airspace.REGIONS]]
+    blocked = risk.no_fly(cells, spark.createDataFrame([(0.0, 0.0, 1.0)], "sx double, sy double, radius_m double"))
+    assert sorted(blocked.columns) == sorted(cells.columns) and {r["hit"] for r in blocked.collect()} == {"mine"}
+    assert reports.legend(spark.createDataFrame([("a", 1), ("a", 2)], "label string, place int"), "place").collect() == [("a", 1)]
     assert sorted(traffic.anchored(obs, (1, 3)).columns) == ["T0_", "hours", "t0", "time"] and traffic.anchored(obs, (1, 3)).count() == 3
 
 
@@ -327,6 +334,15 @@ def test_searches_agree(spark):
     assert graph.heuristic(x, y, [5], 0.0, 707.1) is None
 
 
+def test_relax_equals_search_on_a_grid(spark):
+    """The relational search over a grid of some hundred cells, against the grouped one."""
+    g = Grid(cell=6000.0)
+    e = edges(g.cells(spark)).withColumn("weight", F.col("distance_m") * (1 + F.pmod(F.col("src") * 7 + F.col("dst") * 3, F.lit(11)) / 11.0))
+    roads = graph._adjacency(*zip(*[(r["src"], r["dst"], r["weight"]) for r in e.collect()], strict=True))
+    want = {k: v[0] for k, v in graph.dijkstra(roads, 0, set(roads)).items()}
+    assert {r["node"]: r["cost"] for r in graph.relax(e, 0).collect()} == pytest.approx(want)
+
+
 def test_values_of_another_grid(spark):
     from airgrid.operators.grid import from_other
 
