@@ -72,7 +72,8 @@ def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
 SELECT cell_id, ix, iy, traffic, round(power(least(1.0, ln(1 + traffic::DOUBLE) / (SELECT p FROM s)), 0.75), 6) AS traffic_norm FROM counted WHERE traffic > 0""")
 def traffic_cost_top(spark, d):
     """Observations to cells, zero-filled counts, normalised as route costs are; the cells that saw traffic."""
-    counted = traffic.counts(observed(spark, d), G.cells(spark), G)
+    graph.checkpoints(spark)
+    counted = traffic.counts(observed(spark, d), G.cells(spark), G).checkpoint()  # a row per cell; observations are scanned once
     out = normalize.normalize(counted, "traffic", "traffic_norm", percentile=95, log=True, power=0.75)
     return rounded(out.where("traffic > 0").select("cell_id", "ix", "iy", "traffic", "traffic_norm"), "traffic_norm")
 

@@ -57,10 +57,12 @@ def dated(obs: DataFrame, datasets: list[str]) -> DataFrame:
 
 def dated_terms(spark: SparkSession, obs: DataFrame, grid: grids.Grid, datasets: list[str]) -> DataFrame:
     """Edges of the grid by dataset_slug with their terms, once whatever the number of presets."""
-    cells = risk_cells(spark, grid, F.pmod(F.col("cell_id") * 37, F.lit(1500)).cast("double"))
+    graph.checkpoints(spark)
+    # a row per cell, and per cell and date, read several times by the scales: observations are scanned once
+    cells = risk_cells(spark, grid, F.pmod(F.col("cell_id") * 37, F.lit(1500)).cast("double")).checkpoint()
     base = normalize.normalize(cells, "city_risk", "population")
     base = normalize.normalize(base, "airport_risk_combined", "airspace", percentile=99, power=0.75).select("cell_id", "cx", "cy", "ix", "iy", "population", "airspace")
-    counted = traffic.counts(dated(obs, datasets), base, grid, by=["dataset_slug"])
+    counted = traffic.counts(dated(obs, datasets), base, grid, by=["dataset_slug"]).checkpoint()
     nodes = normalize.normalize(counted, "traffic", "traffic_norm", percentile=95, log=True, power=0.75, by=["dataset_slug"]).drop("traffic").withColumnRenamed("traffic_norm", "traffic")
     return graph.edge_terms(grids.edges(grid.cells(spark)), nodes, by=["dataset_slug"])
 
